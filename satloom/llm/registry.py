@@ -1,7 +1,7 @@
 """Queries of this subpackage by name."""
 
-from . import bpe, quality_rules, token_files
+from . import bpe, quality_classifier, quality_rules, token_files
 
-_modules = [bpe, token_files, quality_rules]
+_modules = [bpe, token_files, quality_rules, quality_classifier]
 QUERIES = {k: v for m in _modules for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _modules for k, v in m.SQL.items()}
