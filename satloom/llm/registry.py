@@ -1,7 +1,7 @@
 """Queries of this subpackage by name."""
 
-from . import bpe, decontaminate, licenses, quality_classifier, quality_rules, token_files
+from . import bpe, decontaminate, licenses, quality_classifier, quality_rules, token_files, toxicity
 
-_modules = [bpe, token_files, quality_rules, quality_classifier, licenses, decontaminate]
+_modules = [bpe, token_files, quality_rules, quality_classifier, licenses, decontaminate, toxicity]
 QUERIES = {k: v for m in _modules for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _modules for k, v in m.SQL.items()}
