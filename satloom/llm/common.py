@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +54,21 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
                 out = fn(batch)
                 yield from [out] if isinstance(out, pa.RecordBatch) else out
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of this machine import this package from where the driver has it.
+
+    Executors elsewhere get it as every Python package of a job (``--py-files`` or an installation).
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 23) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` whose texts hold about ``most`` bytes at most (one long text may exceed it)."""
     array = batch.column(column)

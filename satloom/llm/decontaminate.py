@@ -177,6 +177,7 @@ def bitmap(found: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["b"])
 
     total = np.zeros(1 << bits - 3, np.uint8)
+    common.importable(found.sparkSession)
     for row in found.select("hash").coalesce(4).mapInArrow(run, "b binary").toLocalIterator():
         total |= np.frombuffer(row["b"], np.uint8)
     return total

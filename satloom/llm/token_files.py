@@ -131,6 +131,7 @@ def write_tokens(docs: DataFrame, path: str, model_file: str, pattern: str, end_
         if doc_ids:
             yield _segment(part, seg, start, doc_ids, ends, ids)[0]
 
+    common.importable(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(column).alias("text"))
     # The hash also cuts a run of equal ids between partitions.
     order = ["doc_id", F.xxhash64("text")]
