@@ -13,11 +13,13 @@ connected components of that relation.
 2. *Exact copies* (equal word sequences) are one node from here on, however many they are.
 3. *Bands* of ``ROWS`` registers make buckets: a pair at the threshold shares none with probability
    (1 - 0.8^5)^25 < 0.00005.
-4. *Stars.*  Every node is verified against the node with which it shares most buckets among the least
-   nodes of its buckets; verified pairs join components.  A pair inside a component needs no test.
-5. *Rest.*  In a bucket that still holds several components, every node outside the bucket's largest
-   component is verified against all nodes of other components.  No candidate link between components
-   is left out, and no bucket is capped.
+4. *Bounds.*  Windows that no other candidate has are counted for every node; a node of which they are
+   more than a fifth has no partner, and what is left bounds the similarity of any pair.
+5. *Stars.*  Every node is verified against the most central of its buckets' nodes (the one with the
+   smallest share of own windows); verified pairs join components.  A pair inside a component needs no
+   test.  In a bucket that still holds several components, every node outside the bucket's largest
+   component is verified against all nodes of other components that the bounds leave.  No candidate
+   link between components is left out, and no bucket is capped.
 6. Components by alternating large and small stars.
 
 Nulls: a null or blank text is a class of its own; a null id is kept.  Repeated rows are exact copies.
@@ -253,31 +255,53 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def own_windows(bag: DataFrame) -> DataFrame:
+    """(nid, own): windows of a node, by their counts, that no other node of ``bag`` has."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for nid, v, c in zip(*(batch.column(k).to_pylist() for k in ("nid", "values", "counts")), strict=True):
+            values, counts = np.frombuffer(v, np.int64), np.frombuffer(c, np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), nid)), pa.array(counts)], ["value", "nid", "c"])
+
+    rows = common.arrow_map(bag.select(F.xxhash64("node").alias("nid"), "values", "counts"), run, "value long, nid long, c long")
+    alone = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("nid").alias("nid"), F.sum("c").alias("c")).where("n = 1")
+    return alone.groupBy("nid").agg(F.sum("c").alias("own"))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Digests of all rows, and per node ``class_id`` (least id of the class) and the row to keep of it."""
     rows = common.stored(digests(docs), "digests")
     nodes = common.stored(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
-    members = nodes.select("node", "size", F.explode("bands").alias("key"))
-    buckets = common.stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1").drop("n"), "buckets")
-    full = common.stored(members.join(buckets, "key"), "members")
-    shared = full.where("node <> a").groupBy("node", "a").agg(F.count("*").alias("n"))
-    stars = shared.groupBy("node").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("node").alias("b"))
-    used = full.select("node").union(full.select("a")).distinct()
-    bag = common.stored(bags(docs, nodes.join(used, "node", "left_semi").select(F.col("row.text_hash").alias("text_hash"))), "bags")
+    members = nodes.select("node", F.explode("bands").alias("key"))
+    many = common.stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "buckets")
+    near = common.stored(members.join(many, "key"), "members")
+    used = nodes.join(near.select("node").distinct(), "node", "left_semi")
+    bag = common.stored(bags(docs, used.select(F.col("row.text_hash").alias("text_hash"))), "bags")
+    # What no other candidate has can't overlap; a node with too much of it has no partner.
+    weighed = used.select("node", "size", "bits", F.xxhash64("node").alias("nid")).join(own_windows(bag), "nid", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0)))
+    live = common.stored(weighed.where("5 * most >= 4 * size").select("node", "size", "most", "bits"), "live")
+    placed = common.stored(near.join(live.select("node", "size", "most"), "node"), "placed")
+    central = F.min(F.struct((1 - F.col("most") / F.col("size")).alias("u"), F.col("node").alias("a")))
+    centers = common.stored(placed.groupBy("key").agg(F.count("*").alias("n"), central.alias("c")).where("n > 1").select("key", "c.u", "c.a"), "centers")
+    full = common.stored(placed.join(centers, "key"), "full")
+    shared = full.where("node <> a").groupBy("node", "a").agg(F.count("*").alias("n"), F.min("u").alias("u"))
+    stars = shared.groupBy("node").agg(F.min_by("a", F.struct("u", -F.col("n"), "a")).alias("a")).select("a", F.col("node").alias("b"))
     first = common.stored(verified(common.stored(stars, "star-pairs"), bag), "links")
     found = common.stored(components(first), "components")
 
-    labelled = full.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    labelled = full.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     labelled = common.stored(labelled, "labelled")
     by_part = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = by_part.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1").drop("parts")
-    rest = labelled.join(common.stored(mixed, "mixed"), "key").join(nodes.select("node", "bits"), "node")
+    rest = labelled.join(common.stored(mixed, "mixed"), "key").join(live, "node")
     rest = common.stored(rest, "rest")
     x, y = rest.where("component <> largest").alias("x"), rest.alias("y")
     apart = F.bit_count(F.col("x.bits")[0].bitwiseXOR(F.col("y.bits")[0])) + F.bit_count(F.col("x.bits")[1].bitwiseXOR(F.col("y.bits")[1]))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
-    near = near & (F.least("x.size", "y.size") >= SIMILAR * F.greatest("x.size", "y.size")) & (apart <= BITS_APART)
-    pairs = x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
+    # The most that two nodes can share bounds their similarity.
+    most = F.least("x.most", "y.most")
+    same = same & (5 * most >= 4 * (F.col("x.size") + F.col("y.size") - most)) & (apart <= BITS_APART)
+    pairs = x.join(y, same).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     second = verified(common.stored(pairs, "rest-pairs"), bag)
     linked = common.stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)), "components")
 
