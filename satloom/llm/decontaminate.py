@@ -74,8 +74,8 @@ class Canon:
         self.at[raw] = k
         return k
 
-    def words(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Raw words that have a core, their canonical codes, and their kinds."""
+    def words(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Raw words that have a core, their canonical codes, their own codes, and their kinds."""
         raw = text.split()
         if len(self.at) > CACHE_WORDS:
             self.reset()
@@ -94,10 +94,8 @@ class Canon:
             named[0] = False
             named[1:] &= (flags[:-1] & 8) == 0
         kinds = np.where(named, NAME, kinds).astype(np.uint8)
-        codes = self.codes[index]
-        slots = kinds != PLAIN
-        codes[slots] = _slot_codes[kinds[slots]]
-        return raw, codes, kinds
+        own = self.codes[index]
+        return raw, np.where(kinds != PLAIN, _slot_codes[kinds], own), own, kinds
 
 
 def hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -127,26 +125,26 @@ def windows(texts: DataFrame, keep: list[str], column: str = "text", passes=None
 
     ``passes`` is a broadcast bitmap that windows must pass; ``short`` lists sizes below ``WINDOW`` to
     form as well; ``whole`` forms the one short window of a text of fewer than ``WINDOW`` words.
-    Windows of slots for the most part are left out: they hold no wording.
+    Windows of slots for the most part hold no wording to compare, so they are hashed with their values.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, found = [], []
         for i, text in enumerate(batch.column(column).to_pylist()):
-            raw, codes, kinds = _canon.words(text or "")
+            raw, codes, own, kinds = _canon.words(text or "")
+            filled = np.append(0, np.cumsum(kinds != PLAIN))
             sizes = [WINDOW, *short] if not whole else [min(WINDOW, len(raw))]
             for size in sizes:
                 if not size:
                     continue
                 h = hashes(codes, size)
+                if len(h) and (heavy := 2 * (filled[size:] - filled[:-size]) > size).any():
+                    h = np.where(heavy, hashes(own, size), h)
                 at = np.arange(len(h))
                 if passes is not None and len(h):
                     bits = passes.value
                     cut = h & np.uint64(len(bits) * 8 - 1)
                     at = np.flatnonzero(bits[(cut >> np.uint64(3)).astype(np.int64)] >> (cut & np.uint64(7)).astype(np.uint8) & 1)
-                if len(at):
-                    filled = np.concatenate([[0], np.cumsum(kinds != PLAIN)])
-                    at = at[2 * (filled[at + size] - filled[at]) <= size]
                 for p in at.tolist():
                     rows.append(i)
                     found.append((p, size, len(raw), int(h[p].astype(np.int64)), _slots(raw, kinds, p, size)))

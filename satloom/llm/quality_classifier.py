@@ -111,9 +111,11 @@ def _paths(x: np.ndarray, target: np.ndarray, cuts: list[np.ndarray], bins: np.n
 
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 2e-3, steps: int = 300, seed: int = 7) -> Rules:
     """Grow trees on the running residual, then choose among their rules by lasso logistic regression."""
-    share = float(y.mean()) if len(y) else 0.5
+    if not len(y):
+        return Rules(bias=0.0)
+    share = float(y.mean())
     if not 0 < share < 1:
-        return Rules(bias=float(np.log((share + 1e-6) / (1 - share + 1e-6))) if len(y) else 0.0)
+        return Rules(bias=float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     base = float(np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])) for f in range(x.shape[1])]
