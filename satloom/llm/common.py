@@ -45,6 +45,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """``stored`` as a table bucketed by ``key``: later joins on it move only their other side."""
+    spark, name = df.sparkSession, f"satloom_{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` of a function on one batch; batches are bounded by Spark's bytes-per-batch setting."""
 

@@ -215,14 +215,12 @@ def similarity(v: np.ndarray, c: np.ndarray, w: np.ndarray, d: np.ndarray) -> fl
 
 
 def verified(pairs: DataFrame, bag: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Pairs (a, b) of nodes whose bags are similar.  A node of many pairs is dealt to several tasks."""
-    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    left = bag.join(stars, bag["node"] == stars["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("values").alias("v"), F.col("counts").alias("c"), "parts")
-    left = common.stored(left, "stars")
-    parts = left.where("part = 0").select(F.col("a").alias("a2"), "parts")
-    right = pairs.join(bag, pairs["b"] == bag["node"]).select("a", "b", F.col("values").alias("w"), F.col("counts").alias("d"))
-    dealt = right.join(parts, right["a"] == parts["a2"]).select(F.col("a").alias("a3"), "b", "w", "d", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part3"))
-    both = dealt.join(left, (dealt["a3"] == left["a"]) & (dealt["part3"] == left["part"])).select("a", "b", "v", "c", "w", "d")
+    """Pairs (a, b) of nodes whose bags are similar.  A node ``a`` of many pairs is dealt to several tasks."""
+    stars = common.stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")), "parts")
+    left = bag.join(stars, bag["node"] == stars["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("values").alias("v"), F.col("counts").alias("c"))
+    dealt = pairs.join(stars, "a").select(F.col("a").alias("a2"), "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part2"))
+    right = dealt.join(bag, dealt["b"] == bag["node"]).select("a2", "b", "part2", F.col("values").alias("w"), F.col("counts").alias("d"))
+    both = right.join(left, (right["a2"] == left["a"]) & (right["part2"] == left["part"])).select("a", "b", "v", "c", "w", "d")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = [batch.column(k).to_pylist() for k in ("v", "c", "w", "d")]
@@ -276,7 +274,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = common.stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "buckets")
     near = common.stored(members.join(many, "key"), "members")
     used = nodes.join(near.select("node").distinct(), "node", "left_semi")
-    bag = common.stored(bags(docs, used.select(F.col("row.text_hash").alias("text_hash"))), "bags")
+    bag = common.bucketed(bags(docs, used.select(F.col("row.text_hash").alias("text_hash"))), "bags", "node")
     # What no other candidate has can't overlap; a node with too much of it has no partner.
     weighed = used.select("node", "size", "bits", F.xxhash64("node").alias("nid")).join(own_windows(bag), "nid", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0)))
     live = common.stored(weighed.where("5 * most >= 4 * size").select("node", "size", "most", "bits"), "live")
