@@ -45,7 +45,7 @@ REGISTERS = BANDS * ROWS
 #: Bits in which two signatures of similar texts may differ among one bit a register: 12.5 on average at the
 #: threshold with a deviation of 3.3, so that beyond 36 (seven deviations) no text is similar.
 BITS_APART = 36
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Rows of one node in a join of pairs before it is dealt to more than one task.
 STAR = 512
 _u = np.uint64
@@ -148,7 +148,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """Per row: id, hash of the text, ``node`` (hash of its words; null without words), windows, bands, bits."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for start, end in common.pieces(batch, most=1 << 21):
+        for start, end in common.pieces(batch, most=1 << 20):
             words = [_words_of(x) for x in batch.column("text")[start:end].to_pylist()]
             full = [i for i, w in enumerate(words) if w]
             nodes, bands, bits = [None] * len(words), [None] * len(words), [None] * len(words)
