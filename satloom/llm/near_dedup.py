@@ -15,11 +15,11 @@ connected components of that relation.
    (1 - 0.8^5)^25 < 0.00005.
 4. *Bounds.*  Windows that no other candidate has are counted for every node; a node of which they are
    more than a fifth has no partner, and what is left bounds the similarity of any pair.
-5. *Stars.*  Every node is verified against the most central of its buckets' nodes (the one with the
-   smallest share of own windows); verified pairs join components.  A pair inside a component needs no
-   test.  In a bucket that still holds several components, every node outside the bucket's largest
-   component is verified against all nodes of other components that the bounds leave.  No candidate
-   link between components is left out, and no bucket is capped.
+5. *Stars.*  Every node is verified against the most central of its buckets' nodes (the one whose buckets
+   hold most nodes); verified pairs join components.  A pair inside a component needs no
+   test.  In buckets that still hold several components, nodes of different components meet on rare
+   windows, and where they share none, in the bucket if their common windows alone can reach the
+   threshold (``rest_pairs``).  No candidate link between components is left out, and no bucket is capped.
 6. Components by alternating large and small stars.
 
 Nulls: a null or blank text is a class of its own; a null id is kept.  Repeated rows are exact copies.
@@ -48,6 +48,8 @@ BITS_APART = 36
 CACHE_WORDS = 200_000
 #: Rows of one node in a join of pairs before it is dealt to more than one task.
 STAR = 512
+#: A window of more nodes among the last pairs to test is common.
+RARE = 32
 _u = np.uint64
 _powers = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(SHINGLE)], np.uint64)
 _bands = np.array([[pow(0xD6E8FEB86659FD93, b * ROWS + r + 1, 1 << 64) | 1 for r in range(ROWS)] for b in range(BANDS)], np.uint64)
@@ -253,19 +255,52 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def own_windows(bag: DataFrame) -> DataFrame:
-    """(nid, own): windows of a node, by their counts, that no other node of ``bag`` has."""
+def windows_of(bag: DataFrame, key: str) -> DataFrame:
+    """(value, ``key``, c): a row for every distinct window of every bag."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for nid, v, c in zip(*(batch.column(k).to_pylist() for k in ("nid", "values", "counts")), strict=True):
+        for i, (v, c) in enumerate(zip(batch.column("values").to_pylist(), batch.column("counts").to_pylist(), strict=True)):
             values, counts = np.frombuffer(v, np.int64), np.frombuffer(c, np.uint32).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), nid)), pa.array(counts)], ["value", "nid", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(values), batch.column(key).take(pa.array(np.full(len(values), i))), pa.array(counts)], ["value", key, "c"])
+
+    return common.arrow_map(bag.select(key, "values", "counts"), run, f"value long, {key} {dict(bag.dtypes)[key]}, c long")
+
 
-    rows = common.arrow_map(bag.select(F.xxhash64("node").alias("nid"), "values", "counts"), run, "value long, nid long, c long")
+def own_windows(bag: DataFrame) -> DataFrame:
+    """(nid, own): windows of a node, by their counts, that no other node of ``bag`` has."""
+    rows = windows_of(bag.withColumn("nid", F.xxhash64("node")), "nid")
     alone = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("nid").alias("nid"), F.sum("c").alias("c")).where("n = 1")
     return alone.groupBy("nid").agg(F.sum("c").alias("own"))
 
 
+def rest_pairs(rest: DataFrame, bag: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components that may be similar, among buckets of several components.
+
+    A window is rare if ``RARE`` nodes of ``rest`` or fewer have it.  Two nodes that share a rare window meet
+    on it, which makes at most ``RARE`` rows a window and node.  Two nodes that share none overlap in common
+    windows alone, whose number in either bounds their similarity; they meet in their buckets.
+    """
+    nodes = common.stored(rest.select("node", "component", "size", "most", "bits").distinct(), "rest-nodes")
+    rows = common.stored(windows_of(bag, "node"), "windows")
+    shared = common.stored(rows.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    held = common.stored(rows.join(shared, "value"), "held")
+    core = held.where(F.col("n") > RARE).groupBy("node").agg(F.sum("c").alias("core"))
+    apart = lambda x, y: F.bit_count(F.col(f"{x}.bits")[0].bitwiseXOR(F.col(f"{y}.bits")[0])) + F.bit_count(F.col(f"{x}.bits")[1].bitwiseXOR(F.col(f"{y}.bits")[1])) <= BITS_APART
+    # The most that two nodes can share bounds their similarity.
+    reach = lambda k: 5 * F.least(f"x.{k}", f"y.{k}") >= 4 * (F.col("x.size") + F.col("y.size") - F.least(f"x.{k}", f"y.{k}"))
+    pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    rare = common.stored(held.where(F.col("n") <= RARE).select("value", "node").join(nodes, "node"), "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & reach("most") & apart("x", "y"))
+
+    strong = common.stored(rest.join(core, "node").where(5 * F.col("core") >= 4 * F.col("size")), "strong")
+    x, y = strong.where("component <> largest").alias("x"), strong.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
+    near = x.join(y, same & reach("core") & apart("x", "y"))
+    return met.select(*pair).union(near.select(*pair)).distinct()
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Digests of all rows, and per node ``class_id`` (least id of the class) and the row to keep of it."""
     rows = common.stored(digests(docs), "digests")
@@ -278,12 +313,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # What no other candidate has can't overlap; a node with too much of it has no partner.
     weighed = used.select("node", "size", "bits", F.xxhash64("node").alias("nid")).join(own_windows(bag), "nid", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0)))
     live = common.stored(weighed.where("5 * most >= 4 * size").select("node", "size", "most", "bits"), "live")
-    placed = common.stored(near.join(live.select("node", "size", "most"), "node"), "placed")
-    central = F.min(F.struct((1 - F.col("most") / F.col("size")).alias("u"), F.col("node").alias("a")))
-    centers = common.stored(placed.groupBy("key").agg(F.count("*").alias("n"), central.alias("c")).where("n > 1").select("key", "c.u", "c.a"), "centers")
-    full = common.stored(placed.join(centers, "key"), "full")
-    shared = full.where("node <> a").groupBy("node", "a").agg(F.count("*").alias("n"), F.min("u").alias("u"))
-    stars = shared.groupBy("node").agg(F.min_by("a", F.struct("u", -F.col("n"), "a")).alias("a")).select("a", F.col("node").alias("b"))
+    placed = common.stored(near.join(live.select("node"), "node"), "placed")
+    sizes = common.stored(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    crowded = common.stored(placed.join(sizes, "key").select("key", "node", "n"), "crowded")
+    # The middle of a group shares its bands with more nodes than what strays from it.
+    middle = crowded.join(crowded.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("key", "node", "weight")
+    middle = common.stored(middle, "middle")
+    centers = common.stored(middle.groupBy("key").agg(F.max(F.struct("weight", F.col("node").alias("a"))).alias("c")).select("key", "c.*"), "centers")
+    full = common.stored(middle.drop("weight").join(centers, "key"), "full")
+    shared = full.where("node <> a").groupBy("node", "a").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+    stars = shared.groupBy("node").agg(F.max_by("a", F.struct("weight", "n", "a")).alias("a")).select("a", F.col("node").alias("b"))
     first = common.stored(verified(common.stored(stars, "star-pairs"), bag), "links")
     found = common.stored(components(first), "components")
 
@@ -291,16 +330,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labelled = common.stored(labelled, "labelled")
     by_part = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = by_part.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).where("parts > 1").drop("parts")
-    rest = labelled.join(common.stored(mixed, "mixed"), "key").join(live, "node")
-    rest = common.stored(rest, "rest")
-    x, y = rest.where("component <> largest").alias("x"), rest.alias("y")
-    apart = F.bit_count(F.col("x.bits")[0].bitwiseXOR(F.col("y.bits")[0])) + F.bit_count(F.col("x.bits")[1].bitwiseXOR(F.col("y.bits")[1]))
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
-    # The most that two nodes can share bounds their similarity.
-    most = F.least("x.most", "y.most")
-    same = same & (5 * most >= 4 * (F.col("x.size") + F.col("y.size") - most)) & (apart <= BITS_APART)
-    pairs = x.join(y, same).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    second = verified(common.stored(pairs, "rest-pairs"), bag)
+    rest = common.stored(labelled.join(common.stored(mixed, "mixed"), "key").join(live, "node"), "rest")
+    few = common.stored(bag.join(rest.select("node").distinct(), "node"), "rest-bags")
+    second = verified(common.stored(rest_pairs(rest, few), "rest-pairs"), few)
     linked = common.stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)), "components")
 
     of = nodes.select("node", "row").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
