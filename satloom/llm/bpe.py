@@ -26,7 +26,7 @@ from . import common
 
 #: Entries of the caches that one Python worker keeps of parts between spaces and of pre-tokens; the older
 #: half goes when a newer half is full.
-CACHE_PARTS, CACHE_WORDS = 1_000_000, 700_000
+CACHE_PARTS, CACHE_WORDS = 200_000, 120_000
 #: Longer parts are encoded each time, so that the caches' memory is bounded.
 CACHE_CHARS = 64
 #: Signs that may end a part and are a pre-token of their own after letters.
@@ -218,15 +218,9 @@ class Units:
         return [p for p in missing if len(p) > CACHE_CHARS]
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
 def codec(rank_file: bytes, pattern: str) -> Codec:
     """The codec of this process, made once."""
-    key = hash(rank_file), pattern
-    if key not in _codecs:
-        _codecs[key] = Codec(rank_file, pattern)
-    return _codecs[key]
+    return common.kept("bpe", (hash(rank_file), pattern), lambda: Codec(rank_file, pattern))
 
 
 def _map(df: DataFrame, vocabulary, pattern: str, column: str, keep: list[str], work, schema: str) -> DataFrame:

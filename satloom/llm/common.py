@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words of the contracts that split at ASCII white space, as a Java regex.
 SPACE = "[ \\t-\\r]"
+#: Rows of an Arrow batch where the session keeps Spark's default of 10,000.
+BATCH_ROWS = 1_000
 #: The same for byte strings is what ``bytes.split()`` does.
 
 
@@ -54,7 +56,7 @@ def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` of a function on one batch; batches are bounded by Spark's bytes-per-batch setting."""
+    """``mapInArrow`` of a function on one batch; see ``small_batches`` for the size of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,9 +65,16 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
                 yield from [out] if isinstance(out, pa.RecordBatch) else out
 
     importable(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows, unless the session has a size of its own: texts are long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers of this machine import this package from where the driver has it.
 
@@ -77,6 +86,21 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(name: str, key, make: Callable):
+    """What a Python worker keeps between batches: the tables of one operator.
+
+    Workers are used again by later stages; what another operator left goes first, so that memory is
+    bounded by the largest and not by the sum.
+    """
+    if (name, key) not in _kept:
+        _kept.clear()
+        _kept[name, key] = make()
+    return _kept[name, key]
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 23) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` whose texts hold about ``most`` bytes at most (one long text may exceed it)."""
     array = batch.column(column)

@@ -39,7 +39,7 @@ BROADCAST_ROWS = 200_000
 #: Bits of the bitmap, as powers of two: 1 MB to 32 MB.
 LEAST_BITS, MOST_BITS = 23, 28
 #: Raw words whose canonical form one Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 UNITS = frozenset("mm cm m km mi mile miles inch inches ft feet foot yd yard yards mg g kg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh km/h % percent dollar dollars usd eur euro euros cent cents $ € £ °c °f w kw v".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million half".split())
 _strip = re.compile(r"^[^\w%$€£°]+|[^\w%$€£°]+$").sub
@@ -112,7 +112,6 @@ def hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-_canon = Canon()
 _WINDOWS = "pos int, size int, length int, hash long, slots array<string>"
 
 
@@ -129,9 +128,9 @@ def windows(texts: DataFrame, keep: list[str], column: str = "text", passes=None
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows, found = [], []
+        rows, found, canon = [], [], common.kept("canon", 0, Canon)
         for i, text in enumerate(batch.column(column).to_pylist()):
-            raw, codes, own, kinds = _canon.words(text or "")
+            raw, codes, own, kinds = canon.words(text or "")
             filled = np.append(0, np.cumsum(kinds != PLAIN))
             sizes = [WINDOW, *short] if not whole else [min(WINDOW, len(raw))]
             for size in sizes:
@@ -176,6 +175,7 @@ def bitmap(found: DataFrame, n: int) -> np.ndarray:
 
     total = np.zeros(1 << bits - 3, np.uint8)
     common.importable(found.sparkSession)
+    common.small_batches(found.sparkSession)
     for row in found.select("hash").coalesce(4).mapInArrow(run, "b binary").toLocalIterator():
         total |= np.frombuffer(row["b"], np.uint8)
     return total

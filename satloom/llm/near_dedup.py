@@ -45,7 +45,7 @@ REGISTERS = BANDS * ROWS
 #: Bits in which two signatures of similar texts may differ among one bit a register: 12.5 on average at the
 #: threshold with a deviation of 3.3, so that beyond 36 (seven deviations) no text is similar.
 BITS_APART = 36
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Rows of one node in a join of pairs before it is dealt to more than one task.
 STAR = 512
 #: A window of more nodes among the last pairs to test is common.
@@ -81,12 +81,9 @@ class Words:
         return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
-_words = Words()
-
-
 def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct window hashes, ascending, and their counts."""
-    h = _words.hashes(words)
+    h = common.kept("near", 0, Words).hashes(words)
     size = min(SHINGLE, len(h))
     if not size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -183,6 +180,7 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
 
     total = np.zeros(1 << bits - 3, np.uint8)
     common.importable(ids.sparkSession)
+    common.small_batches(ids.sparkSession)
     for row in ids.coalesce(4).mapInArrow(run, "b binary").toLocalIterator():
         total |= np.frombuffer(row["b"], np.uint8)
     return total

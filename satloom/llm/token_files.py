@@ -78,7 +78,6 @@ def token_at(i: int, levels: list[bytes], bitmaps: list[bytes], ranks: list[byte
     return value
 
 
-_units: dict[int, Units] = {}
 #: How byte-level models write bytes as letters: printable ones as themselves, the rest from 256 on.
 _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _letters = {b: b for b in _shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
@@ -86,15 +85,15 @@ _letters = {b: b for b in _shown} | {b: 256 + i for i, b in enumerate(b for b in
 
 def _encoder(model: str, pattern: str) -> Units:
     """The library's BPE model of this process behind a bounded cache of pre-tokens."""
-    key = hash((model, pattern))
-    if key not in _units:
+
+    def make() -> Units:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(model)
-        bpe = t.model.tokenize
-        _units[key] = Units(pattern, lambda word: array("I", [x.id for x in bpe(word.encode().decode("latin-1").translate(_letters))]).tobytes())
-    return _units[key]
+        bpe = Tokenizer.from_str(model).model.tokenize
+        return Units(pattern, lambda word: array("I", [x.id for x in bpe(word.encode().decode("latin-1").translate(_letters))]).tobytes())
+
+    return common.kept("tokens", hash((model, pattern)), make)
 
 
 def _segment(part: int, seg: int, start: int, docs: list, ends: list[int], ids: list[bytes]) -> tuple[pa.RecordBatch, int]:
@@ -132,6 +131,7 @@ def write_tokens(docs: DataFrame, path: str, model_file: str, pattern: str, end_
             yield _segment(part, seg, start, doc_ids, ends, ids)[0]
 
     common.importable(docs.sparkSession)
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(column).alias("text"))
     # The hash also cuts a run of equal ids between partitions.
     order = ["doc_id", F.xxhash64("text")]

@@ -225,19 +225,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
     return Model(words, [r["doc_id"] for r in rows], np.array([r["y"] for r in rows], float), pairs, share)
 
 
-_vectors: dict[int, Vectors] = {}
-
-
 def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` columns, ``score``, ``predicted`` and the nearest examples (``evidence``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if id(m) not in _vectors:
-            _vectors.clear()
-            _vectors[id(m)] = Vectors(m.vocabulary)
-        v = _vectors[id(m)]
+        _, v = common.kept("toxicity", id(m), lambda: (m, Vectors(m.vocabulary)))
         empty = m.score([0.0] * 4)
         scores, near = [], []
         for text in batch.column("text").to_pylist():
