@@ -26,7 +26,7 @@ from . import common
 
 #: Entries of the caches that one Python worker keeps of parts between spaces and of pre-tokens; the older
 #: half goes when a newer half is full.
-CACHE_PARTS, CACHE_WORDS = 200_000, 120_000
+CACHE_PARTS, CACHE_WORDS = 500_000, 250_000
 #: Longer parts are encoded each time, so that the caches' memory is bounded.
 CACHE_CHARS = 64
 #: Signs that may end a part and are a pre-token of their own after letters.
