@@ -198,6 +198,38 @@ def test_attention_gradients_and_tables():
     assert abs(-model.log_probs(inputs, targets).sum() / 26 - loss) < 1e-4
 
 
+def test_levels_gradients_and_probabilities():
+    model = attention.Levels(np.array([50, 0, 9, 8, 7, 2, 1, 1, 1, 0], float), classes=4, width=4, inner=5, context=4, hop=4)
+    model.p = {k: v.astype(np.float64) + 0.1 for k, v in model.p.items()}
+    rng = np.random.default_rng(0)
+    inputs, targets, _ = model.windows([rng.integers(0, 10, n) for n in (3, 0, 9, 14)])
+    loss, grad = model.gradients(inputs, targets)
+    for k, p in model.p.items():
+        at = tuple(rng.integers(0, s) for s in p.shape)
+        p[at] += 1e-5
+        up, _ = model.gradients(inputs, targets)
+        p[at] -= 2e-5
+        down, _ = model.gradients(inputs, targets)
+        p[at] += 1e-5
+        assert abs((up - down) / 2e-5 - grad[k][at]) < 1e-4
+    model.prepare()
+    assert abs(-model.log_probs(inputs, targets).sum() / 26 - loss) < 1e-4
+    each = [model.log_probs(inputs[:1], np.where(np.arange(4) == 2, i, -1)[None]).sum() for i in range(10)]
+    assert abs(np.exp(each).sum() - 1) < 1e-4
+
+
+def test_lm_sees_the_order_of_frequent_words(spark):
+    names = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu", "re") for b in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"]
+    rng = np.random.default_rng(2)
+    cycle = lambda n: [w for _ in range(n) for w in ("stone", "river", "cloud")]
+    texts = [(i, " ".join([*(names[j] for j in rng.permutation(len(names))), *cycle(20)])) for i in range(1, 41)]
+    docs = spark.createDataFrame([*texts, (100, " ".join(names)), (101, " ".join(reversed(names))), (102, "river stone cloud " * 20), (103, "stone river cloud " * 20)], "doc_id bigint, text string")
+    model, counts = lm_scoring.fit(docs.where("doc_id < 100"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs.where("doc_id >= 100"), model, counts, ["doc_id"]).collect()}
+    assert math.isclose(got[102]["base_score"], got[103]["base_score"], rel_tol=1e-9)
+    assert got[100]["score"] != got[101]["score"] and got[103]["score"] > got[102]["score"] + 1
+
+
 def test_lm_base_scores(spark, documents):
     rows = lm_scoring.op2_lm_score(spark, DATA).collect()
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
