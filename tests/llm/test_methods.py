@@ -230,6 +230,16 @@ def test_lm_sees_the_order_of_frequent_words(spark):
     assert got[100]["score"] != got[101]["score"] and got[103]["score"] > got[102]["score"] + 1
 
 
+def test_lm_is_fitted_on_all_rows(spark):
+    texts = [f"{'stone' if i % 2 else 'river'} number {i}" for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2)
+    model, _ = lm_scoring.fit(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        raw = lm_scoring.Speller(f.read(), public.PATTERN, []).raw
+    every = [i for t in texts for w in lm_scoring.words_of(t) for i in raw(w)]
+    assert model["known"] == sorted(set(every)) and model["trained"] == len(every) + len(texts)
+
+
 def test_lm_base_scores(spark, documents):
     rows = lm_scoring.op2_lm_score(spark, DATA).collect()
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
