@@ -5,6 +5,7 @@ Windows of ``WINDOW`` canonical words of the benchmark are hash-joined with thos
 Matches of one document and item on one diagonal (place in the document minus place in the item) must
 fill the slots consistently: one value of the item stands for one value of the document and the other
 way round, which is what a re-parameterised question does and a chance match of slots does not.
+Windows without slots count in any case.
 
 A document is contaminated by an item if consistent windows cover a run of ``RUN`` words of the item
 (all of a shorter item), or at least ``RUN`` words and ``SHARE`` of it.
@@ -184,8 +185,8 @@ def bitmap(found: DataFrame, n: int) -> np.ndarray:
 def judge(length: int, found: list[tuple[int, int, int, list[str], list[str]]]) -> tuple[int, int, bool]:
     """Covered words of the item, its longest covered run, and whether a slot's value differs.
 
-    ``found``: (place in the document, place in the item, size, slots there, slots here).  Diagonals
-    whose slots contradict each other don't count.
+    ``found``: (place in the document, place in the item, size, slots there, slots here).  Of diagonals
+    whose slots contradict each other only the windows without slots count.
     """
     by_diagonal = defaultdict(list)
     for x in found:
@@ -194,7 +195,7 @@ def judge(length: int, found: list[tuple[int, int, int, list[str], list[str]]])
     for own in by_diagonal.values():
         pairs = {(a, b) for _, _, _, there, here in own for a, b in zip(here, there, strict=True)}
         if len(pairs) != len({a for a, _ in pairs}) or len(pairs) != len({b for _, b in pairs}):
-            continue
+            own, pairs = [x for x in own if not x[3]], set()
         differs |= any(a != b for a, b in pairs)
         for _, at, size, *_ in own:
             hit[at : at + size] = True

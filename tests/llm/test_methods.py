@@ -134,6 +134,14 @@ def test_leaks(spark, documents, tmp_path):
     assert found == {1: False, 2: True}
 
 
+def test_verbatim_words_beside_torn_slots(spark):
+    plain = "the old keeper of the lighthouse walked slowly along the quiet shore and counted every boat that came home before dark"
+    item = f"It is 9 km from the harbour to the village and {plain} and then rested for 9 minutes at the gate"
+    texts = [(1, item.replace("9 minutes", "5 minutes")), (2, item.replace("9 minutes", "5 minutes").replace(plain, "nobody has ever seen it"))]
+    found = decontaminate.contamination(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string"))
+    assert {r["doc_id"]: r["reparameterised"] for r in found.collect()} == {1: False}
+
+
 def test_leaks_against_substrings(spark, documents):
     items = {r["item_id"]: r["text"] for r in common.table(spark, DATA, "benchmark").collect()}
     whole = {i for i, t in documents.items() for x in items.values() if x in t}
