@@ -18,7 +18,7 @@ import os
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,15 +83,21 @@ _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _letters = {b: b for b in _shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
 
 
-def _encoder(model: str, pattern: str) -> Units:
-    """The library's BPE model of this process behind a bounded cache of pre-tokens."""
+def _encoder(model: str, pattern: str) -> Callable[[str], bytes]:
+    """The library's BPE model of this process behind a bounded cache of pre-tokens.
 
-    def make() -> Units:
+    Texts that hold an added token are encoded by the library as a whole.
+    """
+
+    def make() -> Callable[[str], bytes]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        bpe = Tokenizer.from_str(model).model.tokenize
-        return Units(pattern, lambda word: array("I", [x.id for x in bpe(word.encode().decode("latin-1").translate(_letters))]).tobytes())
+        whole = Tokenizer.from_str(model)
+        bpe = whole.model.tokenize
+        encode = Units(pattern, lambda word: array("I", [x.id for x in bpe(word.encode().decode("latin-1").translate(_letters))]).tobytes()).encode
+        added = [x.content for x in whole.get_added_tokens_decoder().values()]
+        return lambda text: array("I", whole.encode(text, add_special_tokens=False).ids).tobytes() if any(x in text for x in added) else encode(text)
 
     return common.kept("tokens", hash((model, pattern)), make)
 
@@ -111,7 +117,7 @@ def write_tokens(docs: DataFrame, path: str, model_file: str, pattern: str, end_
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(model.value, pattern).encode
+        encode = _encoder(model.value, pattern)
         part = TaskContext.get().partitionId()
         seg = start = n = 0
         doc_ids, ends, ids = [], [], []

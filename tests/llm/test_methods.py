@@ -68,6 +68,17 @@ def test_token_file_query(spark, documents):
         at += len(ids)
 
 
+def test_added_tokens_in_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["one two", "one<|endoftext|> two", "<|endoftext|>", "a <|endoftext| > b", "x <|endoftext|><|endoftext|>y"]
+    path = str(tmp_path / "t")
+    token_files.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path, public.path("byte_bpe_50k.json"), public.PATTERN, 2)
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in token_files.read_tokens(spark, path).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+
+
 def test_bpe_query(spark, documents, codec):
     enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     for r in bpe.op8_byte_bpe(spark, DATA).collect():
