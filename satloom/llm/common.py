@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +43,37 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+#: Folders and tables of the open ``scratch`` of this driver thread.
+_open: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``stored`` and ``bucketed`` write inside this block, unless lasting, is deleted at its end."""
+    token = _open.set(paths := [])
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            if path.startswith("table "):
+                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
+            else:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+
+
+def _passing(path: str, lasting: bool = False) -> str:
+    """Note ``path`` for the open scratch."""
+    if not lasting and (paths := _open.get()) is not None:
+        paths.append(path)
+    return path
+
+
+def stored(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = _passing(f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}", lasting)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,10 +82,32 @@ def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
     """``stored`` as a table bucketed by ``key``: later joins on it move only their other side."""
     spark, name = df.sparkSession, f"satloom_{tag.replace('-', '_')}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    _passing(f"table {name}")
+    df.write.bucketBy(n, key).option("path", _passing(f"{shared_dir(spark)}/{name}")).saveAsTable(name)
     return spark.table(name)
 
 
+def bitmap(rows: DataFrame, column: str, least: int = 24, most: int = 28, per_row: int = 16) -> np.ndarray:
+    """Bits set at the mixed hashes of a column, 2^``least`` to 2^``most`` of them, ``per_row`` a row between.
+
+    Partial sums are made on the map side, and one row a word of 64 bits that has any comes to the driver.  It is a
+    prefilter of bounded size: exact joins follow it.
+    """
+    rows = stored(rows.select(F.col(column).alias("h")), "bitmap")
+    bits = min(most, max(least, (per_row * rows.count()).bit_length()))
+    low = F.col("h").bitwiseAND((1 << bits) - 1)
+    words = rows.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(63).cast("int"))).alias("b")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint8)
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in a ``bitmap``."""
+    low = hashes.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
+    return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` of a function on one batch; see ``small_batches`` for the size of a batch."""
 
