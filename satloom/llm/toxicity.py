@@ -4,7 +4,7 @@ Features are lower-cased words and word beginnings of 5 and 6 letters; the ``FEA
 highest chi-square on the sample span the vectors.  The index keeps, for every feature, its postings
 in blocks of examples and the largest weight of each block.  A query bounds every block by these
 maxima, reads blocks in falling order of the bound, and stops when no bound can reach the k-th best
-cosine: the neighbours are exact.  Votes are weighted by distance and calibrated on the sample, each
+cosine: the neighbours are exact.  The queries of a batch go through this together.  Votes are weighted by distance and calibrated on the sample, each
 example being left out of its own neighbours.
 
 The fit reads a bounded sample: at most ``SAMPLE`` labelled documents of either label outside the
@@ -16,7 +16,6 @@ share of label 1.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -46,12 +45,35 @@ def features(word: str) -> list[str]:
     return [w] + [f"{w[:k]}\0" for k in (5, 6) if len(w) > k]
 
 
+class Rows:
+    """Sparse rows: row ``i`` has the columns ``at[cut[i]:cut[i + 1]]``, ascending, with ``values``."""
+
+    def __init__(self, cut: np.ndarray, at: np.ndarray, values: np.ndarray):
+        self.cut, self.at, self.values = cut, at, values
+        self.n = len(cut) - 1
+        self.row = np.repeat(np.arange(self.n), np.diff(cut))
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
+        cut = np.append(0, np.cumsum([len(at) for at, _ in rows])).astype(np.int64)
+        return cls(cut, np.concatenate([np.zeros(0, np.int64), *(at for at, _ in rows)]), np.concatenate([np.zeros(0), *(v for _, v in rows)]))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=values, minlength=self.n)
+
+
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``starts[i] .. starts[i] + n[i] - 1`` for all i in one array."""
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Vectors:
     """Counts of the chosen features in texts; the raw words seen are kept in a bounded table."""
 
     def __init__(self, vocabulary: list[str]):
         self.at = {w: i for i, w in enumerate(vocabulary)}
-        self.groups: list[list[int]] = [[]]
+        self.width = max(1, len(vocabulary))
+        self.groups: list[tuple[int, ...]] = [()]
         self.codes: dict[tuple[int, ...], int] = {(): 0}
         self.seen: dict[str, int] = {}
 
@@ -59,52 +81,47 @@ class Vectors:
         ids = tuple(self.at[f] for f in features(word) if f in self.at)
         if ids not in self.codes:
             self.codes[ids] = len(self.groups)
-            self.groups.append(list(ids))
+            self.groups.append(ids)
         return self.codes[ids]
 
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Features of a text, ascending, and how often each occurs."""
-        words = text.lower().split()
-        codes = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
-        if len(missing := np.flatnonzero(codes < 0)):
-            if len(self.seen) > CACHE_WORDS:
-                self.seen = {}
-            for i in missing.tolist():
-                codes[i] = self.seen[words[i]] = self._code(words[i])
-        out: Counter = Counter()
-        found = codes[codes > 0]
-        if len(found):
-            values, n = np.unique(found, return_counts=True)
-            for c, m in zip(values.tolist(), n.tolist(), strict=True):
-                for f in self.groups[c]:
-                    out[f] += m
-        at = np.array(sorted(out), np.int64)
-        return at, np.array([out[i] for i in at.tolist()], float)
+    def counts(self, texts: list[str]) -> Rows:
+        """Features of each text and how often each occurs."""
+        if len(self.seen) > CACHE_WORDS:
+            self.seen = {}
+        seen, parts = self.seen, []
+        for text in texts:
+            words = text.lower().split()
+            codes = np.fromiter(map(seen.get, words, repeat(-1)), np.int64, len(words))
+            for i in np.flatnonzero(codes < 0).tolist():
+                codes[i] = seen[words[i]] = self._code(words[i])
+            parts.append(codes[codes > 0])
+        sizes = np.array([len(groups) for groups in self.groups])
+        flat = np.concatenate([np.zeros(0, np.int64), *(x for g in self.groups for x in [np.array(g, np.int64)])])
+        first = np.cumsum(sizes) - sizes
+        codes = np.concatenate([np.zeros(0, np.int64), *parts])
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in parts])
+        cells, n = np.unique(np.repeat(owner, sizes[codes]) * self.width + flat[_spread(first[codes], sizes[codes])], return_counts=True)
+        return Rows(np.searchsorted(cells, np.arange(len(texts) + 1) * self.width), cells % self.width, n.astype(float))
 
 
 class Index:
     """Block-max inverted index of unit vectors with labels."""
 
-    def __init__(self, ids: list, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_features: int):
-        n = len(rows)
-        df = np.zeros(n_features)
-        for at, _ in rows:
-            df[at] += 1
-        self.idf = np.log((n + 1) / (df + 1)) + 0.1
-        vectors = [self.weights(at, c) for at, c in rows]
+    def __init__(self, ids: list, labels: np.ndarray, rows: Rows | list[tuple[np.ndarray, np.ndarray]], n_features: int):
+        rows = rows if isinstance(rows, Rows) else Rows.of(rows)
+        n = rows.n
+        self.idf = np.log((n + 1) / (np.bincount(rows.at, minlength=n_features) + 1)) + 0.1
+        w, _ = self.weights_of(rows)
         # Examples with the same heaviest feature stand together, which keeps the bounds of blocks tight.
-        heavy = [int(at[np.argmax(w)]) if len(at) else -1 for (at, _), (w, _) in zip(rows, vectors, strict=True)]
+        heavy = [int(rows.at[a:b][np.argmax(w[a:b])]) if b > a else -1 for a, b in zip(rows.cut[:-1], rows.cut[1:], strict=True)]
         order = sorted(range(n), key=lambda i: (labels[i], heavy[i], i))
         self.ids, self.labels = [ids[i] for i in order], np.array([labels[i] for i in order], float)
         self.blocks = max(1, -(-n // BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_features)]
-        for place, i in enumerate(order):
-            for f, w in zip(rows[i][0].tolist(), vectors[i][0].tolist(), strict=True):
-                lists[f].append((place, w))
-        self.places = np.array([p for x in lists for p, _ in x], np.int64)
-        self.values = np.array([w for x in lists for _, w in x], float)
-        feature = np.repeat(np.arange(n_features), [len(x) for x in lists])
-        cell = feature * self.blocks + self.places // BLOCK
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        by_list = np.lexsort((place[rows.row], rows.at))
+        self.places, self.values = place[rows.row][by_list], w[by_list]
+        cell = rows.at[by_list] * self.blocks + self.places // BLOCK
         self.most = np.zeros(n_features * self.blocks)
         np.maximum.at(self.most, cell, self.values)
         self.most = self.most.reshape(n_features, self.blocks)
@@ -112,46 +129,84 @@ class Index:
         self.starts = np.searchsorted(cell, np.arange(n_features * self.blocks + 1))
 
     def weights(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-        """Unit TF-IDF weights, and the length before."""
-        w = (1 + np.log(counts)) * self.idf[at] if len(at) else np.zeros(0)
-        length = float(np.sqrt((w * w).sum()))
-        return (w / length if length else w), length
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a positive cosine; ties by place."""
-        best_p, best_s = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at):
-            return best_p, best_s
-        bound = w @ self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        done, step = 0, 4
-        while done < len(order):
-            floor = best_s[-1] if len(best_s) == k else 0.0
-            if bound[order[done]] < floor - 1e-12:
+        """``weights_of`` one row."""
+        w, length = self.weights_of(Rows.of([(at, counts)]))
+        return w, float(length[0])
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest_of`` one row."""
+        near = self.nearest_of(Rows.of([(at, w)]), w, k)
+        return near.at, near.values
+
+    def weights_of(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """Unit TF-IDF weights, and the length of each row before."""
+        w = (1 + np.log(rows.values)) * self.idf[rows.at]
+        length = np.sqrt(rows.sums(w * w))
+        return w / length[rows.row], length
+
+    def nearest_of(self, rows: Rows, w: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> Rows:
+        """Per row the places and cosines of the k nearest examples with a positive cosine; ties by place.
+
+        All rows go through their blocks together: in every round the rows that are still open, those whose next
+        bound reaches their k-th best cosine, read as many blocks as in all rounds before.
+        """
+        n = len(self.labels)
+        bound = np.zeros((rows.n, self.blocks))
+        full = np.flatnonzero(np.diff(rows.cut))
+        if len(full):
+            for a in range(0, len(full), 64):
+                some = full[a : a + 64]
+                low, high = rows.cut[some[0]], rows.cut[some[-1] + 1]
+                bound[some] = np.add.reduceat(w[low:high, None] * self.most[rows.at[low:high]], rows.cut[some] - low)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        sorted_bound = np.take_along_axis(bound, order, 1)
+        owner, place, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        done, step, floor = 0, 4, np.zeros(rows.n)
+        while done < self.blocks:
+            open_rows = np.flatnonzero((sorted_bound[:, done] > 0) & (sorted_bound[:, done] >= floor - 1e-12))
+            if not len(open_rows):
                 break
-            some = order[done : done + step]
-            done, step = done + step, step * 2
-            cells = at[:, None] * self.blocks + some[None, :]
-            a, n = self.starts[cells].ravel(), (self.starts[cells + 1] - self.starts[cells]).ravel()
-            flat = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            sums = np.bincount(self.places[flat], weights=self.values[flat] * np.repeat(np.repeat(w, len(some)), n), minlength=1)
-            new = np.flatnonzero(sums)
-            new = new[new != without]
-            p, s = np.concatenate([best_p, new]), np.concatenate([best_s, sums[new]])
-            top = np.lexsort((p, -s))[:k]
-            best_p, best_s = p[top], s[top]
-        return best_p, best_s
-
-    def evidence(self, at: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray, list[float]]:
-        """Neighbours and the inputs of the calibration: the weighted vote, the nearest cosine, the length."""
-        w, length = self.weights(at, counts)
-        p, s = self.nearest(at, w, without=without)
-        d = np.sqrt(np.maximum(0, 2 - 2 * s))
-        votes = 1 / (0.2 + d) ** 2
-        share = float((votes * self.labels[p]).sum() / (votes.sum() + 0.5)) if len(p) else 0.0
-        near = float(s[self.labels[p] == 1].max(initial=0.0)) if len(p) else 0.0
-        return p, s, [share, near, float(np.log1p(length)), share * float(np.log1p(length))]
+            last = min(self.blocks, done + step)
+            sizes = np.diff(rows.cut)[open_rows]
+            at = _spread(rows.cut[open_rows], sizes)
+            new = []
+            # Bounded parts: a cell is a feature of a row and one of its next blocks.
+            for a in range(0, len(at), 20_000):
+                own = np.repeat(np.arange(len(open_rows)), sizes)[a : a + 20_000]
+                some = at[a : a + 20_000]
+                cells = rows.at[some][:, None] * self.blocks + order[open_rows[own], done:last]
+                begin, size = self.starts[cells].ravel(), (self.starts[cells + 1] - self.starts[cells]).ravel()
+                flat = _spread(begin, size)
+                many = size.reshape(cells.shape).sum(1)
+                new.append((np.repeat(open_rows[own], many) * n + self.places[flat], self.values[flat] * np.repeat(w[some], many)))
+            keys = np.concatenate([x for x, _ in new])
+            keys, where = np.unique(keys, return_inverse=True)
+            sums = np.bincount(where, weights=np.concatenate([x for _, x in new]), minlength=len(keys))
+            if without is not None:
+                other = keys % n != without[keys // n]
+                keys, sums = keys[other], sums[other]
+            owner, place, cosine = np.concatenate([owner, keys // n]), np.concatenate([place, keys % n]), np.concatenate([cosine, sums])
+            by = np.lexsort((place, -cosine, owner))
+            owner, place, cosine = owner[by], place[by], cosine[by]
+            first = np.searchsorted(owner, np.arange(rows.n + 1))
+            best = np.arange(len(owner)) - first[owner] < k
+            owner, place, cosine = owner[best], place[best], cosine[best]
+            first = np.searchsorted(owner, np.arange(rows.n + 1))
+            have = np.flatnonzero(np.diff(first) == k)
+            floor[have] = cosine[first[have] + k - 1]
+            done, step = last, step * 2
+        return Rows(np.searchsorted(owner, np.arange(rows.n + 1)), place, cosine)
+
+    def evidence(self, rows: Rows, without: np.ndarray | None = None) -> tuple[Rows, np.ndarray]:
+        """Neighbours, and per row the inputs of the calibration: weighted vote, nearest cosine, length, and a product."""
+        w, length = self.weights_of(rows)
+        near = self.nearest_of(rows, w, without=without)
+        votes = 1 / (0.2 + np.sqrt(np.maximum(0, 2 - 2 * near.values))) ** 2
+        toxic = self.labels[near.at]
+        share = near.sums(votes * toxic) / (near.sums(votes) + 0.5)
+        closest = np.zeros(rows.n)
+        np.maximum.at(closest, near.row, near.values * toxic)
+        return near, np.stack([share, closest, np.log1p(length), share * np.log1p(length)], 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -171,21 +226,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 class Model:
     """Index, vocabulary and calibration; about as large as the sample allows, so it may be broadcast."""
 
-    def __init__(self, vocabulary: list[str], ids: list, labels: np.ndarray, rows: list, share: float):
+    def __init__(self, vocabulary: list[str], ids: list, labels: np.ndarray, rows: Rows, share: float):
         self.vocabulary, self.share = vocabulary, share
         self.index = Index(ids, labels, rows, max(1, len(vocabulary)))
         self.beta = None
         if len(labels) and 0 < labels.mean() < 1:
             place = {i: p for p, i in enumerate(self.index.ids)}
-            x = np.array([self.index.evidence(at, c, place[i])[2] for i, (at, c) in zip(ids, rows, strict=True)])
+            _, x = self.index.evidence(rows, np.array([place[i] for i in ids]))
             # The sample holds the labels in other shares than the corpus.
             weight = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean()))
             self.beta = logistic(x, labels, weight)
 
-    def score(self, inputs: list[float]) -> float:
+    def score(self, inputs: np.ndarray) -> np.ndarray:
         if self.beta is None:
-            return self.share
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self.beta[:-1], inputs) + self.beta[-1], -30, 30))))
+            return np.full(len(inputs), self.share)
+        return 1 / (1 + np.exp(-np.clip(inputs @ self.beta[:-1] + self.beta[-1], -30, 30)))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[DataFrame, float]:
@@ -216,12 +271,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
     words = [] if not m0 * m1 else [r["f"] for r in counted.where((a >= 3) & (c + d > 0) & (a * m0 > b * m1)).orderBy(chi.desc(), "f").limit(n_features).select("f").collect()]
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        v = Vectors(words)
-        got = [v.counts(x or "") for x in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([x for x, _ in got], pa.list_(pa.int64())), pa.array([x for _, x in got], pa.list_(pa.float64()))], ["doc_id", "y", "at", "n"])
+        got = Vectors(words).counts([x or "" for x in batch.column("text").to_pylist()])
+        lists = [pa.ListArray.from_arrays(pa.array(got.cut, pa.int32()), pa.array(x)) for x in (got.at, got.values)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *lists], ["doc_id", "y", "at", "n"])
 
     rows = common.arrow_map(sample, vectors, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, at array<bigint>, n array<double>").orderBy("doc_id").collect()
-    pairs = [(np.array(r["at"], np.int64), np.array(r["n"], float)) for r in rows]
+    pairs = Rows.of([(np.array(r["at"], np.int64), np.array(r["n"], float)) for r in rows])
     return Model(words, [r["doc_id"] for r in rows], np.array([r["y"] for r in rows], float), pairs, share)
 
 
@@ -232,20 +287,16 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = THR
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = shared.value
         _, v = common.kept("toxicity", id(m), lambda: (m, Vectors(m.vocabulary)))
-        empty = m.score([0.0] * 4)
-        scores, near = [], []
-        for text in batch.column("text").to_pylist():
-            at, n = v.counts(text or "")
-            if not len(at):
-                scores.append(empty)
-                near.append([])
-                continue
-            p, s, inputs = m.index.evidence(at, n)
-            scores.append(m.score(inputs))
-            near.append([{"doc_id": m.index.ids[i], "similarity": float(x), "label": int(m.index.labels[i])} for i, x in zip(p[:EVIDENCE].tolist(), s[:EVIDENCE], strict=True)])
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
-        made = [pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32()), pa.array(near, kind)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *made], [*keep, "score", "predicted", "evidence"])
+        kind = pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])
+        for start, end in common.pieces(batch, most=1 << 20):
+            near, inputs = m.index.evidence(v.counts([x or "" for x in batch.column("text")[start:end].to_pylist()]))
+            scores = m.score(inputs)
+            rank = np.arange(len(near.at)) - near.cut[near.row]
+            top = np.flatnonzero(rank < EVIDENCE)
+            found = pa.StructArray.from_arrays([pa.array([m.index.ids[i] for i in near.at[top].tolist()], pa.int64()), pa.array(near.values[top]), pa.array(m.index.labels[near.at[top]].astype(np.int32))], fields=list(kind))
+            cut = np.append(0, np.cumsum(np.minimum(np.diff(near.cut), EVIDENCE)))
+            made = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), found)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k)[start:end] for k in keep], *made], [*keep, "score", "predicted", "evidence"])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for k in keep for f in docs.schema if f.name == k)
     return common.arrow_map(docs.select(*keep, "text"), run, head + "score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,label:int>>")
