@@ -162,12 +162,21 @@ class Units:
     """
 
     #: A space before white space, or after it at the text's end.  ``\\s`` of Python covers that of the pattern.
-    joined = re.compile(r" \s|\s \Z").search
+    joined_any = re.compile(r" \s|\s \Z").search
+    blanks = "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f "
+    after = tuple(" " + x for x in blanks)
+    last = tuple(x + " " for x in blanks)
 
-    def __init__(self, pattern: str, word):
+    def __init__(self, pattern: str, word, most_parts: int = CACHE_PARTS, most_words: int = CACHE_WORDS):
         self.split, self.make = regex.compile(pattern).findall, word
+        self.most_parts, self.most_words = most_parts, most_words
         self.parts, self.old_parts, self.words, self.old_words = {}, {}, {}, {}
 
+    def joined(self, text: str) -> bool:
+        if text.isascii():
+            return any(x in text for x in self.after) or text.endswith(self.last)
+        return self.joined_any(text) is not None
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -180,7 +189,7 @@ class Units:
             tail = b"".join(map(known.__getitem__, parts))
             for p in long:
                 known.pop(p, None)
-            if len(known) >= CACHE_PARTS // 2:
+            if len(known) >= self.most_parts // 2:
                 self.parts, self.old_parts = {}, known
         else:
             tail = b"".join(map(known.__getitem__, parts))
@@ -196,7 +205,7 @@ class Units:
             if ids is None:
                 ids = self.make(p)
             if len(p) <= CACHE_CHARS:
-                if len(self.words) >= CACHE_WORDS // 2:
+                if len(self.words) >= self.most_words // 2:
                     self.words, self.old_words = {}, self.words
                 self.words[p] = ids
         return ids

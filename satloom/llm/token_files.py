@@ -9,7 +9,8 @@ document, with document ids and ends beside the levels.  Spark's writer commits
 executor leaves no half-written file.  Parts and segments are in ascending order of the document id.
 
 Null texts count as empty: the end id alone.  Null ids come first; equal ids are ordered by a hash of
-the text, so equal rows can be told apart by nothing but their place.  An empty table gives no rows.
+the text, so equal rows can be told apart by nothing but their place.  An empty table gives no rows.  A very
+long text is a segment of its own.  Only the id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .bpe import Units
 #: Tokens of a segment; a longer document has one of its own.
 SEGMENT = 1 << 20
 BLOCK = 512
+#: Entries of the encoder's caches in a worker, about 150 bytes each.
+CACHE_PARTS, CACHE_WORDS = 1_000_000, 500_000
 LAYOUT = "part int, seg int, seg_start long, n_tokens long, doc_ids array<bigint>, doc_ends binary, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
 
 
@@ -83,6 +86,17 @@ _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _letters = {b: b for b in _shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
 
 
+def _shown_as(word: str) -> str:
+    """A pre-token in the letters of the model."""
+    if word.isascii():
+        # Of the signs from the space to the tilde only the space, which can but begin a longer pre-token, is changed.
+        if word.isalpha():
+            return word
+        if word[0] == " " and word[1:].isalpha():
+            return "\u0120" + word[1:]
+    return word.encode().decode("latin-1").translate(_letters)
+
+
 def _encoder(model: str, pattern: str) -> Callable[[str], bytes]:
     """The library's BPE model of this process behind a bounded cache of pre-tokens.
 
@@ -95,7 +109,13 @@ def _encoder(model: str, pattern: str) -> Callable[[str], bytes]:
 
         whole = Tokenizer.from_str(model)
         bpe = whole.model.tokenize
-        encode = Units(pattern, lambda word: array("I", [x.id for x in bpe(word.encode().decode("latin-1").translate(_letters))]).tobytes()).encode
+        raw = [i.to_bytes(4, "little") for i in range(whole.get_vocab_size())]
+
+        def word(text: str) -> bytes:
+            found = bpe(_shown_as(text))
+            return raw[found[0].id] if len(found) == 1 else b"".join([raw[x.id] for x in found])
+
+        encode = Units(pattern, word, CACHE_PARTS, CACHE_WORDS).encode
         added = [x.content for x in whole.get_added_tokens_decoder().values()]
         return lambda text: array("I", whole.encode(text, add_special_tokens=False).ids).tobytes() if any(x in text for x in added) else encode(text)
 
@@ -168,6 +188,39 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     return common.arrow_map(needed, run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
+def segment_index(spark: SparkSession, path: str) -> DataFrame:
+    """One small row a segment: ``start`` and ``n_tokens`` of its tokens among all, ``part`` and ``seg``."""
+    rows = spark.read.schema(LAYOUT).parquet(path).select("part", "seg", "seg_start", "n_tokens")
+    before = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    return rows.join(before, "part").select("part", "seg", (F.col("part_start") + F.col("seg_start")).alias("start"), "n_tokens")
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """``positions`` (``position``, counted over all tokens of the files) with ``id``; no segment is unpacked.
+
+    Positions are joined with the index of the segments, then with their levels, bitmaps and rank directories, and
+    each is resolved by one byte and one rank a level.  A position outside of the files has a null id.
+    """
+    index = segment_index(spark, path)
+    # Segments are told apart by ranges of as many positions; a segment of more tokens stands in several.
+    spread = index.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / SEGMENT), F.floor((F.col("start") + F.greatest(F.col("n_tokens") - 1, F.lit(0))) / SEGMENT))))
+    asked = positions.select("position").withColumn("cell", F.floor(F.col("position") / SEGMENT))
+    placed = asked.join(spread, (asked["cell"] == spread["cell"]) & (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_tokens")), "left").select("position", "part", "seg", (F.col("position") - F.col("start")).alias("i"))
+    segments = spark.read.schema(LAYOUT).parquet(path).select("part", "seg", "levels", "bitmaps", "ranks")
+    # All positions of a segment go with it in one row, in chunks, so that its levels are sent once a chunk.
+    chunks = placed.where("part is not null").groupBy("part", "seg", F.pmod(F.xxhash64("position"), F.lit(16)).alias("chunk")).agg(F.collect_set("i").alias("at"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k in range(batch.num_rows):
+            levels, bitmaps, ranks, at = (batch.column(c)[k].as_py() for c in ("levels", "bitmaps", "ranks", "at"))
+            ids = [token_at(i, levels, bitmaps, ranks) for i in at]
+            same = [pa.array([batch.column(c)[k].as_py()] * len(at), pa.int32()) for c in ("part", "seg")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(at, pa.int64()), pa.array(ids, pa.int64())], ["part", "seg", "i", "id"])
+
+    found = common.arrow_map(segments.join(chunks, ["part", "seg"]).select("part", "seg", "at", "levels", "bitmaps", "ranks"), run, "part int, seg int, i long, id long")
+    return placed.join(found, ["part", "seg", "i"], "left").select("position", "id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 10: files in the shared folder, then the documents read back from them."""
     import public_tokenizers as public

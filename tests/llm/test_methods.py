@@ -79,6 +79,16 @@ def test_added_tokens_in_texts(spark, tmp_path):
     assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
 
 
+def test_random_access_on_files(spark, documents, tmp_path):
+    path = str(tmp_path / "t")
+    token_files.write_tokens(common.table(spark, DATA, "documents").repartition(3), path, public.path("byte_bpe_50k.json"), public.PATTERN, 2)
+    every = np.concatenate([np.frombuffer(bytes(r["ids"]), "<u4") for r in token_files.read_tokens(spark, path).orderBy("start").collect()])
+    asked = [0, 0, len(every) - 1, *np.random.default_rng(1).integers(0, len(every), 300).tolist()]
+    got = token_files.tokens_at(spark, path, spark.createDataFrame([(i,) for i in [*asked, len(every), -1]], "position long")).collect()
+    assert sorted((r["position"], r["id"]) for r in got if r["id"] is not None) == sorted((i, int(every[i])) for i in asked)
+    assert {r["position"] for r in got if r["id"] is None} == {len(every), -1}
+
+
 def test_bpe_query(spark, documents, codec):
     enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     for r in bpe.op8_byte_bpe(spark, DATA).collect():
