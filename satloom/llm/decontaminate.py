@@ -1,22 +1,29 @@
 """Benchmark decontamination by template canonicalisation (operator 4).
 
 Words are lower-cased and stripped of punctuation; numbers, units and names become typed placeholders.
-Windows of ``WINDOW`` canonical words of the benchmark are hash-joined with those of the documents.
+Windows of ``WINDOW`` canonical words of the benchmark are hash-joined with those of the documents.  A window
+with names is also hashed with the names as plain words, so that case makes no difference.  A window of slots for the
+most part holds little wording: it is hashed with its values, and the windows of ``LONG`` words around it (of
+the whole item if that is shorter) are hashed as templates, if at least half of ``WINDOW`` of their words are plain.
+
 Matches of one document and item on one diagonal (place in the document minus place in the item) must
 fill the slots consistently: one value of the item stands for one value of the document and the other
-way round, which is what a re-parameterised question does and a chance match of slots does not.
-Windows without slots count in any case.
+way round, which is what a re-parameterised question does and a chance match of slots does not.  Of a diagonal
+that contradicts itself, consistent stretches of ``TORN`` words or more count, and windows without slots.
 
 A document is contaminated by an item if consistent windows cover a run of ``RUN`` words of the item
 (all of a shorter item), or at least ``RUN`` words and ``SHARE`` of it.
 
 Documents are scanned once; windows are first tested against a bitmap of the benchmark's hashes whose
 size is fixed within stated bounds, and only those that pass become rows.  The benchmark's windows are
-broadcast up to ``BROADCAST_ROWS`` and joined by shuffle beyond it.
+broadcast up to ``BROADCAST_ROWS`` and joined by shuffle beyond it, salted so that a passage of many documents is dealt
+to several tasks.
 
 Null texts and null ids: a null text has no windows; a null id is kept as null.  Repeated rows are
-judged alike.  Items of fewer than ``WINDOW`` words form one window of their own length, tested only
-where the benchmark has such lengths.  Empty tables give no rows.
+judged alike; of items with equal texts the least id stands for all.  Items of fewer than ``WINDOW`` words form
+one window of their own length, tested only where the benchmark has such lengths.  A very long text is scanned whole
+in one worker.  Empty tables give no rows.  Only ids and texts are read, so other columns may have any names; the
+stage ``keep_clean`` passes them on.
 """
 
 from __future__ import annotations
@@ -34,9 +41,15 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 8
+#: Words of the windows around a window of many slots; a power of the hash for each.
+LONG = 16
 RUN = 13
+#: Words of a consistent stretch that counts on a diagonal that contradicts itself.
+TORN = 2 * RUN
 SHARE = 0.5
 BROADCAST_ROWS = 200_000
+#: Parts of a hash in the join by shuffle.
+SALT = 16
 #: Bits of the bitmap, as powers of two: 1 MB to 32 MB.
 LEAST_BITS, MOST_BITS = 23, 28
 #: Raw words whose canonical form one Python worker keeps.
@@ -47,7 +60,7 @@ _strip = re.compile(r"^[^\w%$€£°]+|[^\w%$€£°]+$").sub
 _number = re.compile(r"[$€£]?[+-]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?%?").fullmatch
 PLAIN, NUM, UNIT, NAME = 0, 1, 2, 3
 _slot_codes = np.array([xxhash.xxh3_64_intdigest(b"\0slot%d" % k) for k in range(4)], np.uint64)
-_powers = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(WINDOW)], np.uint64)
+_powers = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) | 1 for k in range(LONG)], np.uint64)
 
 
 class Canon:
@@ -120,34 +133,54 @@ def _slots(raw: list[str], kinds: np.ndarray, start: int, size: int) -> list[str
     return [_strip("", raw[start + k]).lower() for k in range(size) if kinds[start + k] != PLAIN]
 
 
-def windows(texts: DataFrame, keep: list[str], column: str = "text", passes=None, short: tuple[int, ...] = (), whole: bool = False) -> DataFrame:
+def forms(codes: np.ndarray, own: np.ndarray, kinds: np.ndarray, sizes: list[int], long: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, places, hashes, kinds) of the windows of a text, see the head of this file."""
+    named = kinds == NAME
+    for plain in (False, True) if named.any() else (False,):
+        if plain:
+            codes, kinds, before = np.where(named, own, codes), np.where(named, PLAIN, kinds).astype(np.uint8), np.append(0, np.cumsum(named))
+        filled = np.append(0, np.cumsum(kinds != PLAIN))
+        for size in sizes:
+            if not 0 < size <= len(codes):
+                continue
+            h, slots = hashes(codes, size), filled[size:] - filled[:-size]
+            if (heavy := 2 * slots > size).any():
+                h = np.where(heavy, hashes(own, size), h)
+            # The second time, windows without names are those of the first.
+            at = np.flatnonzero(before[size:] > before[:-size]) if plain else np.arange(len(h))
+            yield size, at, h[at], kinds
+            if size == WINDOW and heavy.any():
+                dense = np.append(0, np.cumsum(heavy))
+                for wide in long:
+                    if wide <= len(codes):
+                        n = len(codes) - wide + 1
+                        words = wide - (filled[wide:] - filled[:-wide])
+                        ok = (dense[wide - WINDOW + 1 :][:n] > dense[:n]) & (2 * words >= WINDOW)
+                        at = np.flatnonzero(ok & (before[wide:] > before[:-wide])) if plain else np.flatnonzero(ok)
+                        if len(at):
+                            yield wide, at, hashes(codes, wide)[at], kinds
+
+
+def windows(texts: DataFrame, keep: list[str], column: str = "text", passes=None, short: tuple[int, ...] = (), long: tuple[int, ...] = (), whole: bool = False) -> DataFrame:
     """Canonical windows of every text: ``keep`` columns, place, size, words of the text, hash, slot values.
 
-    ``passes`` is a broadcast bitmap that windows must pass; ``short`` lists sizes below ``WINDOW`` to
-    form as well; ``whole`` forms the one short window of a text of fewer than ``WINDOW`` words.
-    Windows of slots for the most part hold no wording to compare, so they are hashed with their values.
+    ``passes`` is a broadcast bitmap that windows must pass; ``short`` lists sizes below ``WINDOW`` and ``long``
+    those above it to form as well; ``whole`` forms the sizes that an item has.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, found, canon = [], [], common.kept("canon", 0, Canon)
         for i, text in enumerate(batch.column(column).to_pylist()):
             raw, codes, own, kinds = canon.words(text or "")
-            filled = np.append(0, np.cumsum(kinds != PLAIN))
-            sizes = [WINDOW, *short] if not whole else [min(WINDOW, len(raw))]
-            for size in sizes:
-                if not size:
-                    continue
-                h = hashes(codes, size)
-                if len(h) and (heavy := 2 * (filled[size:] - filled[:-size]) > size).any():
-                    h = np.where(heavy, hashes(own, size), h)
-                at = np.arange(len(h))
-                if passes is not None and len(h):
-                    bits = passes.value
-                    cut = h & np.uint64(len(bits) * 8 - 1)
-                    at = np.flatnonzero(bits[(cut >> np.uint64(3)).astype(np.int64)] >> (cut & np.uint64(7)).astype(np.uint8) & 1)
-                for p in at.tolist():
+            n = len(raw)
+            sizes, wide = ([min(WINDOW, n)], [min(LONG, n)] if n > WINDOW else []) if whole else ([WINDOW, *short], list(long))
+            for size, at, h, filled in forms(codes, own, kinds, sizes, wide):
+                if passes is not None and len(at):
+                    ok = common.passes(passes.value, h)
+                    at, h = at[ok], h[ok]
+                for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
                     rows.append(i)
-                    found.append((p, size, len(raw), int(h[p].astype(np.int64)), _slots(raw, kinds, p, size)))
+                    found.append((p, size, n, x, _slots(raw, filled, p, size)))
             if len(rows) >= 20_000:
                 yield made(batch, rows, found)
                 rows, found = [], []
@@ -163,40 +196,39 @@ def windows(texts: DataFrame, keep: list[str], column: str = "text", passes=None
     return common.arrow_map(texts.select(*keep, column), run, head + _WINDOWS)
 
 
-def bitmap(found: DataFrame, n: int) -> np.ndarray:
-    """Bitmap of hashes, of a size between the stated bounds; each of few partitions makes one."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
+def _consistent(pairs: set[tuple[str, str]]) -> bool:
+    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(1 << bits - 3, np.uint8)
-        for b in batches:
-            cut = b.column("hash").to_numpy().astype(np.uint64) & np.uint64((1 << bits) - 1)
-            np.bitwise_or.at(out, (cut >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cut & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["b"])
 
-    total = np.zeros(1 << bits - 3, np.uint8)
-    common.importable(found.sparkSession)
-    common.small_batches(found.sparkSession)
-    for row in found.select("hash").coalesce(4).mapInArrow(run, "b binary").toLocalIterator():
-        total |= np.frombuffer(row["b"], np.uint8)
-    return total
+def stretches(own: list[tuple[int, int, int, list[str], list[str]]]) -> list[list[tuple]]:
+    """The matches of a diagonal, by place, cut wherever the next one contradicts the stretch so far."""
+    out, forth, back = [], {}, {}
+    for x in sorted(own, key=lambda x: x[1:3]):
+        pairs = list(zip(x[4], x[3], strict=True))
+        if not out or any(forth.get(a, b) != b or back.get(b, a) != a for a, b in pairs):
+            out.append([])
+            forth, back = {}, {}
+        forth.update(pairs)
+        back.update((b, a) for a, b in pairs)
+        out[-1].append(x)
+    return out
 
 
 def judge(length: int, found: list[tuple[int, int, int, list[str], list[str]]]) -> tuple[int, int, bool]:
     """Covered words of the item, its longest covered run, and whether a slot's value differs.
 
-    ``found``: (place in the document, place in the item, size, slots there, slots here).  Of diagonals
-    whose slots contradict each other only the windows without slots count.
+    ``found``: (place in the document, place in the item, size, slots there, slots here).
     """
     by_diagonal = defaultdict(list)
     for x in found:
         by_diagonal[x[0] - x[1]].append(x)
     hit, differs = np.zeros(length, bool), False
     for own in by_diagonal.values():
-        pairs = {(a, b) for _, _, _, there, here in own for a, b in zip(here, there, strict=True)}
-        if len(pairs) != len({a for a, _ in pairs}) or len(pairs) != len({b for _, b in pairs}):
-            own, pairs = [x for x in own if not x[3]], set()
-        differs |= any(a != b for a, b in pairs)
+        values = lambda rows: {(a, b) for _, _, _, there, here in rows for a, b in zip(here, there, strict=True)}
+        if not _consistent(values(own)):
+            parts = [x for x in stretches(own) if _consistent(values(x)) and max(y[1] + y[2] for y in x) - x[0][1] >= TORN]
+            own = [y for x in parts for y in x] + [y for y in own if not y[3]]
+        differs |= any(a != b for a, b in values(own))
         for _, at, size, *_ in own:
             hit[at : at + size] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
@@ -211,13 +243,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     ours = common.stored(windows(items, ["item_id"], whole=True), "template-windows")
-    stats = ours.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("size") < WINDOW, F.col("size"))).alias("short")).first()
-    passes = docs.sparkSession.sparkContext.broadcast(bitmap(ours, stats["n"]))
+    sizes = lambda c: F.collect_set(F.when(c, F.col("size")))
+    stats = ours.agg(F.count("*").alias("n"), sizes(F.col("size") < WINDOW).alias("short"), sizes(F.col("size") > WINDOW).alias("long")).first()
+    passes = docs.sparkSession.sparkContext.broadcast(common.bitmap(ours, "hash", LEAST_BITS, MOST_BITS, 64))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    theirs = windows(keyed, ["doc_id", "text_hash"], passes=passes, short=tuple(sorted(stats["short"])))
+    theirs = windows(keyed, ["doc_id", "text_hash"], passes=passes, short=tuple(sorted(stats["short"])), long=tuple(sorted(stats["long"])))
     theirs = theirs.select("doc_id", "text_hash", F.col("pos").alias("doc_pos"), "size", "hash", F.col("slots").alias("doc_slots"))
-    right = F.broadcast(ours) if stats["n"] <= BROADCAST_ROWS else ours
-    met = theirs.join(right, ["hash", "size"]).groupBy("doc_id", "text_hash", "item_id").agg(F.max("length").alias("length"), F.collect_set(F.struct("doc_pos", "pos", "size", "doc_slots", "slots")).alias("found"))
+    on = ["hash", "size"]
+    if stats["n"] <= BROADCAST_ROWS:
+        right = F.broadcast(ours)
+    else:
+        on, theirs = [*on, "salt"], theirs.withColumn("salt", F.pmod(F.hash("doc_id", "doc_pos"), F.lit(SALT)))
+        right = ours.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = theirs.join(right, on).groupBy("doc_id", "text_hash", "item_id").agg(F.max("length").alias("length"), F.collect_set(F.struct("doc_pos", "pos", "size", "doc_slots", "slots")).alias("found"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         length = batch.column("length").to_pylist()
