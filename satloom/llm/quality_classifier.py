@@ -6,8 +6,10 @@ column, so scoring is an ordinary projection without Python.
 
 The fit reads a bounded sample: at most ``SAMPLE`` labelled documents outside the held-out fold, those
 with the smallest hash of their id.  Scoring covers every document.  A null text counts as empty and
-gets a score like any other; repeated rows get equal scores; without any labels, or with one class
-alone, every score is the share of label 1 (one half if there are no labels).
+gets a score like any other; repeated rows get equal scores; a very long text is measured whole in its row; ties
+of hashes in the sample are broken by the id; an empty table gives no rows; without any labels, or with one
+class alone, every score is the share of label 1 (one half if there are no labels).  Columns named ``x``, ``score``
+or ``predicted`` give way to those made by ``score``; the stage ``keep_good`` passes on all columns untouched.
 """
 
 from __future__ import annotations
@@ -109,7 +111,7 @@ def _paths(x: np.ndarray, target: np.ndarray, cuts: list[np.ndarray], bins: np.n
     return found, fit
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 2e-3, steps: int = 300, seed: int = 7) -> Rules:
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 2e-3, steps: int = 800, seed: int = 7) -> Rules:
     """Grow trees on the running residual, then choose among their rules by lasso logistic regression."""
     if not len(y):
         return Rules(bias=0.0)
@@ -147,6 +149,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, pen
         new = z - step * (a.T @ g) / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         new_bias = zb - step * g.mean()
+        # Momentum that points uphill starts anew.
+        t = 1.0 if (z - new) @ (new - w) + (zb - new_bias) * (new_bias - bias) > 0 else t
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / t2 * (new - w), new_bias + (t - 1) / t2 * (new_bias - bias)
         w, bias, t = new, new_bias, t2
