@@ -4,7 +4,9 @@ Operator 8.  ``encode`` and ``decode`` are the general operators (ids as a littl
 column); ``roundtrip_digest`` does both in one pass over the text and returns digests.
 
 Null texts count as empty: no ids, digests of no bytes.  Repeated rows give repeated results, an empty
-table an empty one, and other columns of the input are kept or ignored as each function says.
+table an empty one; of pieces that could be merged next the leftmost goes first; a very long text is encoded whole
+in one worker.  Other columns of the input are kept or ignored as each function says, and a kept column that has
+the name of a column made gives way to it.
 """
 
 from __future__ import annotations
@@ -244,6 +246,7 @@ def _map(df: DataFrame, vocabulary, pattern: str, column: str, keep: list[str],
             yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, *names])
 
     names = [x.split()[0] for x in schema.split(", ")]
+    keep = [k for k in keep if k not in names]
     types = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for k in keep for f in df.schema if f.name == k)
     return common.arrow_map(df.select(*keep, *[c for c in [column] if c not in keep]), run, head + schema)

@@ -5,9 +5,10 @@ a policy is a versioned mask of the rules in force, so that verdicts of another
 are bit operations on the ledger and read no text.
 
 A null text has no words and fails the base rule, as does an empty one.  Repeated rows are judged one
-by one, an empty table gives an empty ledger, and other columns of the input don't matter.  A text is
-one row's work: its windows are hashed, sorted and compared inside the row, so a frequent window, line
-or source makes no large group.
+by one, and an empty table gives an empty ledger.  Columns of the input that have the name of a column of the
+ledger give way to it in ``ledger``; the stage ``keep_good`` carries all columns of the input through untouched.
+A text, however long, is one row's work: its windows are hashed, sorted and compared inside the row, so a
+frequent window, line or source makes no large group.
 """
 
 from __future__ import annotations
@@ -43,18 +44,20 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, common.SPACE + "+"))
 
 
-def repeated_words(w: Column, size: int = 3, place_bits: int = PLACE_BITS) -> Column:
+def repeated_words(w: Column, size: int = 3, place_bits: int = PLACE_BITS, hash_bits: int = 64) -> Column:
     """Words that stand in a window of ``size`` words found twice or more in the array.
 
     Windows are packed as (hash, place) into one long, sorted, and compared with their neighbours, by
-    the words themselves where the hashes agree.
+    the words themselves where the hashes agree.  Where hashes agree and words don't, equal windows need not be
+    neighbours; such a text, and one with more words than the place has bits for, is sorted by the words as well.
     """
     low = (1 << place_bits) - 1
     n = F.size(w)
     places = F.sequence(F.lit(0), n - size)
 
     def window_hash(i: Column) -> Column:
-        return F.xxhash64(*[F.get(w, i + k) for k in range(size)])
+        h = F.xxhash64(*[F.get(w, i + k) for k in range(size)])
+        return h if hash_bits == 64 else h.bitwiseAND(F.lit((1 << hash_bits) - 1))
 
     def same_words(a: Column, b: Column) -> Column:
         out = F.get(w, a) == F.get(w, b)
@@ -72,13 +75,14 @@ def repeated_words(w: Column, size: int = 3, place_bits: int = PLACE_BITS) -> Co
         packed = F.transform(places, lambda i: F.shiftleft(window_hash(i), place_bits).bitwiseOR(i.cast("bigint")))
         twin = lambda x, y: F.coalesce((key(x) == key(y)) & same_words(place(x), place(y)), F.lit(False))
         found = lambda s: F.filter(s, lambda x, i: twin(x, F.get(s, i - 1)) | twin(x, F.get(s, i + 1)))
-        return common.let(F.sort_array(packed), lambda s: common.let(F.sort_array(F.transform(found(s), place)), covered))
+        clash = lambda s: F.exists(F.transform(s, lambda x, i: F.coalesce((key(x) == key(F.get(s, i - 1))) & ~same_words(place(x), place(F.get(s, i - 1))), F.lit(False))), lambda x: x)
+        return common.let(F.sort_array(packed), lambda s: F.when(clash(s), wide()).otherwise(common.let(F.sort_array(F.transform(found(s), place)), covered)))
 
     def wide() -> Column:
-        pairs = F.transform(places, lambda i: F.struct(window_hash(i).alias("h"), i.alias("i")))
-        twin = lambda x, y: F.coalesce((x["h"] == y["h"]) & same_words(x["i"], y["i"]), F.lit(False))
+        rows = F.transform(places, lambda i: F.struct(window_hash(i).alias("h"), *[F.get(w, i + k).alias(f"w{k}") for k in range(size)], i.alias("i")))
+        twin = lambda x, y: F.coalesce(same_words(x["i"], y["i"]), F.lit(False))
         found = lambda s: F.filter(s, lambda x, i: twin(x, F.get(s, i - 1)) | twin(x, F.get(s, i + 1)))
-        return common.let(F.array_sort(pairs), lambda s: common.let(F.sort_array(F.transform(found(s), lambda x: x["i"])), covered))
+        return common.let(F.array_sort(rows), lambda s: common.let(F.sort_array(F.transform(found(s), lambda x: x["i"])), covered))
 
     return F.when(n < size, F.lit(0).cast("bigint")).when(n <= low, narrow()).otherwise(wide())
 
@@ -151,7 +155,8 @@ def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the policy keeps, with their columns."""
-    return ledger(docs).where(verdict()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return ledger(whole).where(verdict()).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 _LEDGER_SQL = r"""
