@@ -1,16 +1,17 @@
 """Main text of web pages (operator 6).
 
-The standard library's parser streams events; block elements end a line.  Every line has its text and
-the tags seen in it; the text-to-tag ratio of the lines is smoothed with a Gaussian, and a threshold on
-the smoothed ratio clusters lines into content and the rest.  Elements that are never content (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) are left out
-by name, role, class or id before that.  Where the page marks its article, the region is that element
-and all its lines stay, however short; the clusters decide where nothing is marked.
+The standard library's parser streams events; block elements end a line.  Every line has its text, the tags seen
+in it and whether it stands in a marked element (article, main).  The logarithm of the text-to-tag ratio of the lines
+is smoothed with a Gaussian; where a page marks an element, ``MARK`` is added to its lines and taken from all others; a
+threshold on the sum clusters lines into content and the rest, on every page alike.  Elements that are never
+content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) are
+left out by name, role, class or id before that.
 
 White space inside a block becomes one space, blocks are joined by a line feed.  A null or empty page,
 and one without content, gives an empty text; broken or unclosed markup is read as browsers' parsers
 read it for these purposes: an unclosed element ends with its parent or the page.  Repeated rows give
-repeated results; other columns are ignored.
+repeated results, lines of equal score are content together or not at all; a very long page is read whole in one
+worker, an empty table gives no rows; a kept column named ``text`` or ``n_chars`` gives way to the one made.
 """
 
 from __future__ import annotations
@@ -31,12 +32,16 @@ CELLS = frozenset(["td", "th"])
 NEVER = frozenset("head title script style noscript template svg math canvas iframe object audio video nav header footer aside menu form button select option textarea input label dialog".split())
 MARKED = frozenset(["article", "main"])
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: A class or id of one of these words, or that has one of them as its first part, is never content ...
+_words = "ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|banner|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|masthead|cookies?|consent|gdpr|popup|modal|overlay|comments?|disqus|newsletter|pagination|pager|skip-link|toolbar"
+#: ... and one of these only where the class or id is nothing else, or names a box, bar, list, block and the like of it.
+_alone = "promo(?:tion)?|header|footer|notice|alert|replies|respond|share|sharing|social|related|recommended|subscribe|signup|login|widget"
 _names = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|comments?|comment-list|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|widget|toolbar|pagination|pager|skip-link)(?:$|[\s_-])",
+    rf"(?:^|[\s_-])(?:{_words})(?:$|[\s_-])|^(?:site-|page-)?(?:{_alone})(?:s|[_-](?:box|bar|list|links?|block|area|section|posts?|articles?|buttons?|icons?|content|widget|form|text))?$",
     re.I,
 ).search
-#: Lines of smoothing on either side, its width, and the share of the standard deviation that separates content.
-SIGMA, THRESHOLD = 1.0, 0.5
+#: Width of the smoothing, share of the page's best line that separates content, and what a mark adds.
+SIGMA, THRESHOLD, MARK = 1.0, 0.4, 20.0
 
 
 class Lines(HTMLParser):
@@ -79,7 +84,8 @@ class Lines(HTMLParser):
             self.marked += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in VOID:
+        if tag in VOID or tag in BREAKS or tag in CELLS:
+            # <p/> opens an element as <p> does: the slash means nothing in HTML.
             self.handle_starttag(tag, attrs)
 
     @staticmethod
@@ -121,14 +127,15 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def regions(lines: list[tuple[str, int, bool]]) -> list[str]:
-    """Lines of the content: all of a marked article, otherwise the clusters above the threshold."""
-    if any(m for _, _, m in lines):
-        return [t for t, _, m in lines if m]
-    if len(lines) < 3:
-        return [t for t, _, _ in lines]
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines]))
-    content = np.flatnonzero(ratio >= THRESHOLD * ratio.std())
-    return [t for t, _, _ in lines[content[0] : content[-1] + 1]] if len(content) else []
+    """Lines of the clusters whose score reaches the threshold."""
+    if not lines:
+        return []
+    score = smoothed(np.log1p([len(t) / max(1, n) for t, n, _ in lines]))
+    cut = THRESHOLD * score.max()
+    marked = np.array([m for _, _, m in lines])
+    if marked.any():
+        score += np.where(marked, MARK, -MARK)
+    return [lines[i][0] for i in np.flatnonzero(score >= cut)]
 
 
 def main_text(html: str | None) -> str:
@@ -149,6 +156,7 @@ def extract(pages: DataFrame, keep: list[str], column: str = "html") -> DataFram
             texts = [main_text(x) for x in batch.column(column)[start:end].to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k)[start:end] for k in keep], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
 
+    keep = [k for k in keep if k not in ("text", "n_chars")]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for k in keep for f in pages.schema if f.name == k)
     return common.arrow_map(pages.select(*keep, column), run, head + "text string, n_chars long")
 

@@ -205,3 +205,37 @@ def test_difference_bounds_every_similar_pair():
 def test_long_text_is_whole(spark):
     kept = quality_rules.ledger(docs(spark, [(1, LONG)])).collect()[0]
     assert kept["n_words"] == len(LONG.split())
+
+
+def test_ratio_decides_where_nothing_is_marked(spark):
+    """Pages without marks keep their article, and without any name of a menu, footer or advert its lines still go."""
+    import re
+    from collections import Counter
+
+    from satloom.llm import html_text
+
+    pages = [r["html"] for r in common.table(spark, "/root/testdata/sf0.01", "pages").collect()]
+
+    def lines(html, names):
+        parser = html_text.Lines()
+        parser.feed(re.sub(r' class="?ad"?', "" if "nav" in names else r"\g<0>", re.sub(rf"<(/?)(?:{names})\b", r"<\1div", html)))
+        parser.close()
+        parser.flush()
+        return parser.lines
+
+    for names, least, changed in (("article|main", (0.99, 0.98), 0), ("article|main|nav|footer|header|aside", (0.8, 0.95), 0.9)):
+        same = given = wanted = n = 0
+        for html in pages:
+            want, every = html_text.main_text(html).split("\n"), lines(html, names)
+            got = html_text.regions(every)
+            same += sum((Counter(want) & Counter(got)).values())
+            given, wanted, n = given + len(got), wanted + len(want), n + (len(got) < len(every))
+        assert same / given >= least[0] and same / wanted >= least[1] and n >= changed * len(pages)
+
+
+def test_page_marks_and_names():
+    from satloom.llm import html_text
+
+    assert html_text.main_text("<main><div class='post related'>body</div></main>") == "body"
+    assert html_text.main_text("<article>a<p/>b</article>") == "a\nb"
+    assert html_text.main_text("<article>a<div class='related-posts'>x</div><div class=share>y</div></article>") == "a"
