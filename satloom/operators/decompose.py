@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from . import kmers
+from .tables import stored
 
 DEPTH = 100
 #: Distinct monomers among which the reference monomer is sought.
@@ -96,20 +96,6 @@ def second_pass_round(pieces: DataFrame) -> DataFrame:
     return out.select("array_ord", "cut", "score", "period", F.col("new").alias("pieces"), (F.size("new") != F.size("pieces")).alias("changed"))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the folder that all executors share (``spark.checkpoint.dir``) and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="satloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/pieces-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def refine_to_fixpoint(pieces: DataFrame) -> DataFrame:
     """Refinement rounds over the arrays that still change; every change adds a piece, so it ends."""
     done, active = None, stored(pieces.select("array_ord", "cut", "score", "period", "pieces"))
@@ -155,31 +141,47 @@ def distance(a: str, b: str) -> int:
     return score
 
 
+def _codes(text: str) -> np.ndarray:
+    """Code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _best_cut(seq: str, depth: int, cutoff: int) -> tuple[str, float, int]:
+    """Cut, score and period: all k-mers of a length are grouped at once, as numbers of positions."""
+    raw = _codes(seq)
     counts = {b: seq.count(b) for b in S.TIE_ORDER}
-    base = max(S.TIE_ORDER, key=lambda b: counts[b])
-    level = [(base, [i for i, c in enumerate(seq) if c == base])]
+    places = np.flatnonzero(raw == ord(max(S.TIE_ORDER, key=lambda b: counts[b])))
+    added = np.full(len(raw) + depth, 4)
+    for k, b in enumerate(kmers.BASE_ORDER):
+        added[: len(raw)][raw == ord(b)] = k
+    # Groups are numbered by their first place; positions stay in ascending order.
+    group, n_groups = np.zeros(len(places), np.int64), 1
     votes: dict[int, list] = {}
     for length in range(2, depth + 1):
-        grown, best = [], None
-        for prefix, places in level:
-            for b in kmers.BASE_ORDER:
-                own = [p for p in places if seq[p + length - 1 : p + length] == b]
-                if len(own) > cutoff:
-                    grown.append((prefix + b, own))
-                    if best is None or len(own) > len(best[1]):
-                        best = grown[-1]
-        if best is None:
+        base = added[places + length - 1]
+        whole = base < 4
+        places, key = places[whole], group[whole] * 4 + base[whole]
+        n = np.bincount(key, minlength=4 * n_groups)
+        frequent = n > cutoff
+        if not frequent.any():
             break
-        # First places decide the order of equal counts at the next length.
-        level = sorted(grown, key=lambda x: x[1][0])
-        sizes = Counter(len(x) + length for x in seq.split(best[0]))
-        period, n = max(sizes.items(), key=lambda x: x[1])
-        score = n / sizes.total()
-        vote = votes.setdefault(period, [0, best[0], score])
+        stay = frequent[key]
+        places, key = places[stay], key[stay]
+        first = np.full(4 * n_groups, len(seq))
+        first[key[::-1]] = places[::-1]
+        at = first[np.where(frequent, n, 0).argmax()]
+        hint = seq[at : at + length]
+        order = np.argsort(first, kind="stable")
+        number = np.empty(4 * n_groups, np.int64)
+        number[order] = np.arange(4 * n_groups)
+        group, n_groups = number[key], int(frequent.sum())
+        sizes = Counter(map(len, seq.split(hint)))
+        gap, n_gap = max(sizes.items(), key=lambda x: x[1])
+        score = n_gap / sizes.total()
+        vote = votes.setdefault(gap + length, [0, hint, score])
         vote[0] += 1
         if score > vote[2]:
-            vote[1:] = best[0], score
+            vote[1:] = hint, score
     if not votes:
         return seq, 0.0, len(seq)
     period, (_, cut, score) = max(votes.items(), key=lambda x: x[1][0])
@@ -203,29 +205,57 @@ def decompose_text(seq: str, depth: int = DEPTH, cutoff: int = S.LEAST_CUTOFF, c
         split = seq.split(cut)
         led = [split[0] or cut if compat else split[0], *[cut + x for x in split[1:]]]
         pieces = [p for x in led if x for p in _even(x, period)]
+    known: dict[tuple[str, str], list[str]] = {}
     while True:
-        order = sorted(Counter(pieces).items(), key=lambda x: -x[1])[:CANDIDATES]
-        reference = next((m for m, _ in order if len(m) == period), None)
+        distinct = Counter(pieces)
+        reference = next((m for m, _ in sorted(distinct.items(), key=lambda x: -x[1])[:CANDIDATES] if len(m) == period), None)
         if reference is None:
             return cut, score, period, pieces
-        after = [p for x in pieces for p in _refine(x, reference)]
+        long = [x for x in distinct if len(x) / len(reference) > LONG and (reference, x) not in known]
+        known.update(((reference, x), [y for y in (x[:at], x[at:]) if y]) for x, at in zip(long, split_places(long, reference), strict=True))
+        after = [y for x in pieces for y in known.get((reference, x), (x,))]
         if len(after) == len(pieces):
             return cut, score, period, after
         pieces = after
 
 
-def _refine(piece: str, reference: str) -> list[str]:
-    n, size = len(reference), len(piece)
-    if size / n <= LONG:
-        return [piece]
-    best, at = n, 0
-    for i in [*range(min(size - n + 1, 5)), *range(max(0, size - n - 4), size - n + 1)]:
-        if (d := distance(reference, piece[i : i + n])) < best:
-            best, at = d, i
-    if 2 * best >= n:
-        return [piece]
-    at = at or n
-    return [x for x in (piece[:at], piece[at:]) if x]
+def distances(reference: str, others: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of a text and the rows of a matrix of code points, all by the same bit-parallel columns."""
+    if len(reference) > 64:
+        return np.array([distance(reference, "".join(map(chr, x))) for x in others.tolist()], np.int64)
+    letters, of = np.unique(_codes(reference), return_inverse=True)
+    masks = np.zeros(len(letters) + 1, np.uint64)
+    np.bitwise_or.at(masks, of, np.uint64(1) << np.arange(len(reference), dtype=np.uint64))
+    at = np.minimum(np.searchsorted(letters, others), len(letters) - 1)
+    equal = masks[np.where(letters[at] == others, at, len(letters))]
+    full, top, one = np.uint64((1 << len(reference)) - 1), np.uint64(len(reference) - 1), np.uint64(1)
+    plus, minus, score = np.full(len(others), full), np.zeros(len(others), np.uint64), np.full(len(others), len(reference), np.int64)
+    for eq in equal.T:
+        d0 = (((eq & plus) + plus) ^ plus) | eq | minus
+        hp, hn = minus | ~(d0 | plus), plus & d0
+        score += (hp >> top & one).astype(np.int64) - (hn >> top & one).astype(np.int64)
+        hp, hn = hp << one | one, hn << one
+        plus, minus = (hn | ~(d0 | hp)) & full, hp & d0 & full
+    return score
+
+
+def split_places(pieces: list[str], reference: str) -> list[int]:
+    """Where each piece, longer than the reference, is split; 0 if nowhere.
+
+    The reference is sought at the five first and five last places of a piece, of all pieces at once.  The nearest
+    place wins, the first of equals in that order; if that is more than half of the reference away, none does.
+    """
+    n = len(reference)
+    starts = [np.concatenate([np.arange(min(len(x) - n + 1, 5)), np.arange(max(0, len(x) - n - 4), len(x) - n + 1)]) for x in pieces]
+    if not pieces:
+        return []
+    owner = np.repeat(np.arange(len(pieces)), [len(x) for x in starts])
+    begin = np.cumsum([0, *map(len, pieces)])[:-1]
+    text = _codes("".join(pieces))
+    found = distances(reference, text[(np.concatenate(starts) + begin[owner])[:, None] + np.arange(n)])
+    best = np.lexsort((np.arange(len(found)), found, owner))[np.searchsorted(owner, np.arange(len(pieces)))]
+    at = np.concatenate(starts)[best]
+    return np.where(2 * found[best] >= n, 0, np.where(at == 0, n, at)).tolist()
 
 
 def importable(spark: SparkSession) -> None:

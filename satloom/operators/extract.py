@@ -19,8 +19,10 @@ def monomer_table(arrays: DataFrame, distance: int = 0, function: str = "hd") ->
     if function not in DISTANCES:
         raise ValueError(f"function must be one of {', '.join(DISTANCES)}")
     each = arrays.select("array_ord", F.posexplode("pieces").alias("i", "monomer"))
-    counted = each.groupBy("monomer").agg(F.count("*").alias("n"), F.min(F.struct("array_ord", "i")).alias("f"))
-    out = counted.select("n", F.length("monomer").alias("length"), "monomer", F.col("f.array_ord").alias("first_ord"), F.col("f.i").alias("first_pos"))
+    # By array first, so that both aggregates are of plain numbers and need no sort.
+    own = each.groupBy("array_ord", "monomer").agg(F.count("*").alias("n"), F.min("i").alias("i"))
+    counted = own.groupBy("monomer").agg(F.sum("n").alias("n"), F.min("array_ord").alias("first_ord"), F.min_by("i", "array_ord").alias("first_pos"))
+    out = counted.select("n", F.length("monomer").alias("length"), "monomer", "first_ord", "first_pos")
     return out.orderBy(F.desc("n"), "first_ord", "first_pos")
 
 

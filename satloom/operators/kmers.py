@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .tables import stored
 
 #: Last length of each band; positions that can't grow further are dropped between bands.
 BANDS = (8, 16, 32, 64, 100)
@@ -15,6 +16,7 @@ BASE_ORDER = "ACGT"
 def kmer_tree(arrays: DataFrame, depth: int, cutoff: Column | int, bands: tuple[int, ...] = BANDS) -> DataFrame:
     """(array_ord, length, kmer, n, first_pos): k-mers of 2 .. depth bases with more than ``cutoff`` occurrences.
 
+    A k-mer's parent in the tree is itself without its last base, and has ``length - 1``.
     Occurrences may overlap and hold A, C, G, T alone.  A k-mer is as frequent as any extension, so
     every band starts from the positions whose k-mer survived the band before.  Sequences are cut as
     bytes: text functions would walk them from the start.
@@ -32,11 +34,13 @@ def kmer_tree(arrays: DataFrame, depth: int, cutoff: Column | int, bands: tuple[
         lengths = F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.length("w")))).alias("length")
         each = live.where(F.length("w") >= low).select("array_ord", "cutoff", "p", "w", lengths)
         found = each.groupBy("array_ord", "length", F.substring("w", F.lit(1), F.col("length")).alias("kmer"), "cutoff").agg(F.count("*").alias("n"), F.min("p").alias("first_pos")).where(F.col("n") > F.col("cutoff"))
+        # Stored, or every band would plan, and scan, all bands before it twice.
+        found = stored(found) if high < depth else found
         out = found if out is None else out.unionByName(found)
         if high < depth:
             grown = found.where(F.col("length") == high).select("array_ord", F.col("kmer").alias("k"))
             left = live.where(F.length("w") >= high)
-            live = left.join(grown, (left["array_ord"] == grown["array_ord"]) & (F.substring(left["w"], 1, high) == grown["k"]), "left_semi")
+            live = stored(left.join(grown, (left["array_ord"] == grown["array_ord"]) & (F.substring(left["w"], 1, high) == grown["k"]), "left_semi"))
         low = high + 1
     return out.select("array_ord", "length", F.col("kmer").cast("string").alias("kmer"), "n", "first_pos")
 

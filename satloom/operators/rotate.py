@@ -32,8 +32,10 @@ def kmer_census(arrays: DataFrame, k: int = K) -> DataFrame:
     each = joined.where(last >= 0).select("array_ord", "s", F.explode(F.sequence(F.lit(0), last)).alias("p"))
     kmer = lambda p: F.substring("s", p + 1, F.lit(k))
     fresh = each.where((F.col("p") == 0) | (kmer(F.col("p")) != kmer(F.col("p") - 1)))
-    counted = fresh.groupBy(kmer(F.col("p")).alias("kmer")).agg(F.count("*").alias("n"), F.min(F.struct("array_ord", "p")).alias("f"))
-    return counted.select(F.col("kmer").cast("string").alias("kmer"), "n", F.col("f.array_ord").alias("first_ord"), F.col("f.p").alias("first_pos"))
+    # By array first: counts and places are plain numbers, which hash aggregates take without a sort.
+    own = fresh.groupBy("array_ord", kmer(F.col("p")).alias("kmer")).agg(F.count("*").alias("n"), F.min("p").alias("p"))
+    counted = own.groupBy("kmer").agg(F.sum("n").alias("n"), F.min("array_ord").alias("first_ord"), F.min_by("p", "array_ord").alias("first_pos"))
+    return counted.select(F.col("kmer").cast("string").alias("kmer"), "n", "first_ord", "first_pos")
 
 
 def start_kmers(arrays: DataFrame, census: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def _blocks(spark: SparkSession, path: str | list[str], separator: str) -> DataF
     order = Window.orderBy("file", "block")
     placed = splits.select("file", "block", "low", (F.sum("n").over(order) - F.col("n")).alias("before"), (F.lag("file").over(order).eqNullSafe(F.col("file"))).alias("inner"), (F.lead("file").over(order).eqNullSafe(F.col("file"))).alias("more"), "n")
     both = rows.join(placed, ["file", "block"])
-    return both.select((F.col("before") + F.col("rid") - F.col("low")).alias("ord"), (~F.col("inner") & (F.col("rid") == F.col("low"))).alias("first"), (~F.col("more") & (F.col("rid") == F.col("low") + F.col("n") - 1)).alias("last"), "value")
+    return both.select("file", (F.col("before") + F.col("rid") - F.col("low")).alias("ord"), (~F.col("inner") & (F.col("rid") == F.col("low"))).alias("first"), (~F.col("more") & (F.col("rid") == F.col("low") + F.col("n") - 1)).alias("last"), "value")
 
 
 def _trim(x: Column) -> Column:
@@ -105,15 +105,18 @@ def read_satellome_arrays(spark: SparkSession, path: str | list[str]) -> DataFra
 def read_tab(spark: SparkSession, path: str | list[str], delimiter: str = "\t", skip_first: bool = False, skip_starting: str | None = None, transform: Lines | None = None, eager: bool = False) -> DataFrame:
     """(ord, cells) of delimited lines.
 
-    The first line is skipped before comments are dropped (``eager``), or only if it is the file's
-    first and no comment, which is the same line either way unless comments lead the file.
+    ``skip_first`` drops the first line of each file.  With ``eager`` the comments are dropped before that, so the
+    line is the first that is no comment; without it the line goes whatever it is.
     """
-    rows = _blocks(spark, path, "\n")
-    if skip_first:
+    rows = _blocks(spark, path, "\n").withColumn("value", F.regexp_replace("value", "\r$", ""))
+    comment = F.col("value").startswith(skip_starting) if skip_starting else F.lit(False)
+    if skip_first and eager:
+        # The first line without comments of each file: one small row a file.
+        heads = rows.where(~comment).groupBy("file").agg(F.min("ord").alias("head"))
+        rows = rows.join(F.broadcast(heads), "file", "left").where(~F.col("ord").eqNullSafe(F.col("head")))
+    elif skip_first:
         rows = rows.where(~F.col("first"))
-    rows = rows.select("ord", F.regexp_replace("value", "\r$", "").alias("value"))
-    if skip_starting:
-        rows = rows.where(~F.col("value").startswith(skip_starting))
+    rows = rows.where(~comment).select("ord", "value")
     out = rows.select("ord", F.split("value", "\\Q" + delimiter + "\\E", -1).alias("cells"))
     return transform(out) if transform else out
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from satloom.plans import registry
+from satloom.plans import files, registry  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no tables")
