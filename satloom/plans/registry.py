@@ -124,6 +124,12 @@ def kmer_tree_events(spark: SparkSession, d: str) -> DataFrame:
     return K.kmer_tree(V.dna_events(spark, d), DEPTH, CUTOFF)
 
 
+@query("kmer_tree_deep", f"WITH {_tree.format('dna_tandem').replace(f'range(2, {DEPTH + 1})', 'range(2, 41)')} SELECT * FROM tree", "dna_tandem")
+def kmer_tree_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Four bands of the tree."""
+    return K.kmer_tree(V.dna_tandem(spark, d), 40, CUTOFF)
+
+
 def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     arrays = V.dna_tandem(spark, d)
     return arrays, K.hints(K.kmer_tree(arrays, DEPTH, CUTOFF))
@@ -246,8 +252,31 @@ def rotate_given(spark: SparkSession, d: str) -> DataFrame:
     return O.rotate(V.tandem_units(spark, d), START)
 
 
-@query("rotate_auto")
+_of_monomers = lambda x: x.replace("tandem_units", "tandem_monomers")
+_best_start = "st AS (SELECT * FROM f1 WHERE f1 >= 0.5 ORDER BY f1 DESC, rank LIMIT 1)"
+
+
+@query("start_kmer_monomers", f"WITH {_of_monomers(_turned)}, {_census}, {_starts}, {_best_start} SELECT * FROM st", "tandem_monomers")
+def start_kmer_monomers(spark: SparkSession, d: str) -> DataFrame:
+    return O.start_kmer(O.oriented(V.tandem_monomers(spark, d)))
+
+
+@query(
+    "rotate_auto",
+    f"""WITH {_of_monomers(_turned)}, {_census}, {_starts}, {_best_start},
+ro AS (SELECT array_ord, CASE WHEN {_counts['A']} < {_counts['T']} THEN seq ELSE {_rc('seq')} END AS t, seq FROM sp),
+jj AS (SELECT array_ord, replace(t, ' ', '') AS s, t <> seq AS reversed, (SELECT kmer FROM st) AS k FROM ro),
+ps AS (SELECT array_ord, s, reversed, list_concat([0], list_filter(range(1, length(s)), lambda p: substring(s, p + 1, 5) = k)) AS p FROM jj)
+SELECT array_ord, list_transform(p, lambda x, i: substring(s, x + 1, coalesce(p[i + 1], length(s)) - x)) AS pieces, reversed FROM ps""",
+    "tandem_monomers",
+)
 def rotate_auto(spark: SparkSession, d: str) -> DataFrame:
+    return O.rotate(V.tandem_monomers(spark, d))
+
+
+@query("rotate_auto_uncut")
+def rotate_auto_uncut(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of eleven bases have no start k-mer: oriented and left as they are."""
     return O.rotate(V.tandem_units(spark, d))
 
 

@@ -33,6 +33,14 @@ def dna_tandem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("array_ord"), seq.alias("seq"))
 
 
+def tandem_monomers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of a unit as monomers.  Brands share letters and all units a tail of T, so a start k-mer exists."""
+    unit = F.concat(_fold(F.concat("p_name", "p_brand")), F.lit("TTTTTTTT"))
+    grown = lambda i: F.when((i == 1) & (F.col("k") % 3 == 0), F.concat("unit", F.lit("G"))).otherwise(F.col("unit"))
+    base = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), unit.alias("unit"))
+    return base.select(F.col("k").alias("array_ord"), F.transform(F.sequence(F.lit(0), (3 + F.col("k") % 40).cast("int")), grown).alias("pieces"))
+
+
 def dna_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types of a user in the order of time, as bases; errors are N."""
     code = F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "C").when(F.col("event_type") == "purchase", "G").when(F.col("event_type") == "signup", "T").otherwise("N")
@@ -76,3 +84,4 @@ dna_tandem AS (SELECT p_partkey AS array_ord, concat(substring(a, 1, k), CASE WH
  WHEN 5 THEN concat('>', p_partkey) WHEN 6 THEN concat('gi|', p_partkey, '|gb|AAAB', p_partkey, '.2| chromosome ', p_size) WHEN 7 THEN concat('>gnl|ti|', p_partkey, ' ', p_name) ELSE 'plain words' END AS head FROM part)""",
 }
 SQL["tandem_units"] = SQL["dna_tandem"] + ",\ntandem_units AS (SELECT array_ord, list_transform(range(0, CAST(ceil(length(seq) / 11.0) AS BIGINT)), lambda i: substring(seq, i * 11 + 1, 11)) AS pieces FROM dna_tandem)"
+SQL["tandem_monomers"] = f"monomer_unit AS (SELECT p_partkey, concat({_fold_sql.format('concat(p_name, p_brand)')}, 'TTTTTTTT') AS unit FROM part),\ntandem_monomers AS (SELECT p_partkey AS array_ord, list_transform(range(0, CAST(4 + p_partkey % 40 AS BIGINT)), lambda i: CASE WHEN i = 1 AND p_partkey % 3 = 0 THEN concat(unit, 'G') ELSE unit END) AS pieces FROM monomer_unit)"

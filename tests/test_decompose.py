@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from satloom.operators import decompose as D
@@ -83,3 +84,18 @@ def test_problems_raise(spark):
 
 def test_distance():
     assert [D.distance(*x) for x in (("", "ab"), ("ab", ""), ("kitten", "sitting"), ("ACGT", "ACGT"))] == [2, 2, 3, 0]
+
+
+def test_distances_of_a_matrix():
+    rng = random.Random(3)
+    for n in (1, 5, 63, 64, 70):
+        a = "".join(rng.choice("ACGT") for _ in range(n))
+        others = ["".join(rng.choice("ACGTN") if rng.random() < 0.3 else c for c in a) for _ in range(12)]
+        assert D.distances(a, np.stack([D._codes(x) for x in others])).tolist() == [D.distance(a, x) for x in others]
+
+
+def test_plan_of_a_deep_tree_is_linear_in_its_bands(spark):
+    arrays = spark.createDataFrame([(1, "ACGT" * 60)], "array_ord long, seq string")
+    plan = lambda depth: K.kmer_tree(arrays, depth, 3)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    assert plan(100) <= 5 and plan(6) == 1
+    assert {(r["length"], r["n"]) for r in K.kmer_tree(arrays, 100, 3).where("kmer like 'A%'").groupBy("length").agg({"n": "max"}).withColumnRenamed("max(n)", "n").collect()} == {(k, (240 - k) // 4 + 1) for k in range(2, 101)}
