@@ -36,7 +36,9 @@ FOLDS = 5
 THRESHOLD = 0.5
 EVIDENCE = 3
 #: Queries that go through the index together.
-TOGETHER = 256
+TOGETHER = 64
+#: A feature of more than one in so many examples is a row of the matrix and has no postings.
+HOT = 16
 CACHE_WORDS = 400_000
 _signs = ".,!?;:|*%&$#\"'()[]<>"
 
@@ -129,6 +131,15 @@ class Index:
         self.most = np.zeros(n_features * self.blocks)
         np.maximum.at(self.most, cell, self.values)
         self.most = self.most.reshape(n_features, self.blocks)
+        # Features of many examples are rows of a small matrix, whose products are exact for all examples at once.
+        df = np.bincount(rows.at, minlength=n_features)
+        self.hot = np.full(n_features, -1)
+        self.hot[df > n / HOT] = np.arange((df > n / HOT).sum())
+        rest = self.hot[rows.at[by_list]] < 0
+        self.dense = np.zeros((self.hot.max() + 1, self.blocks * BLOCK))
+        self.dense[self.hot[rows.at[by_list]][~rest], self.places[~rest]] = self.values[~rest]
+        self.most[self.hot >= 0] = 0
+        self.places, self.values, cell = self.places[rest], self.values[rest], cell[rest]
         #: starts[f, b] .. starts[f, b + 1]: postings of feature f in block b.
         self.starts = np.searchsorted(cell, np.arange(n_features * self.blocks + 1))
 
@@ -154,42 +165,45 @@ class Index:
         All rows go through their blocks together: in every round the rows that are still open, those whose next
         bound reaches their k-th best cosine, read as many blocks as in all rounds before.
         """
-        n = len(self.labels)
-        bound = np.zeros((rows.n, self.blocks))
+        weights = np.zeros((rows.n, len(self.dense)))
+        often = self.hot[rows.at] >= 0
+        weights[rows.row[often], self.hot[rows.at[often]]] = w[often]
+        base = (weights @ self.dense).reshape(rows.n, self.blocks, BLOCK)
+        bound = base.max(2)
         full = np.flatnonzero(np.diff(rows.cut))
         if len(full):
-            for a in range(0, len(full), 64):
-                some = full[a : a + 64]
-                low, high = rows.cut[some[0]], rows.cut[some[-1] + 1]
-                bound[some] = np.add.reduceat(w[low:high, None] * self.most[rows.at[low:high]], rows.cut[some] - low)
+            bound[full] += np.add.reduceat(w[:, None] * self.most[rows.at], rows.cut[full])
         order = np.argsort(-bound, axis=1, kind="stable")
         sorted_bound = np.take_along_axis(bound, order, 1)
         owner, place, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         done, step, floor = 0, 4, np.zeros(rows.n)
+        seldom = Rows(np.append(0, np.cumsum(rows.sums((~often).astype(float)))).astype(np.int64), rows.at[~often], w[~often])
         while done < self.blocks:
-            open_rows = np.flatnonzero((sorted_bound[:, done] > 0) & (sorted_bound[:, done] >= floor - 1e-12))
+            open_rows = np.flatnonzero((sorted_bound[:, done] > 0) & (sorted_bound[:, done] >= floor - 1e-9))
             if not len(open_rows):
                 break
             last = min(self.blocks, done + step)
-            sizes = np.diff(rows.cut)[open_rows]
-            at = _spread(rows.cut[open_rows], sizes)
-            new = []
+            here = order[open_rows, done:last]
+            sums = base[open_rows[:, None], here].ravel()
+            sizes = np.diff(seldom.cut)[open_rows]
+            at = _spread(seldom.cut[open_rows], sizes)
+            turn = np.repeat(np.arange(len(open_rows)), sizes)
             # Bounded parts: a cell is a feature of a row and one of its next blocks.
             for a in range(0, len(at), 20_000):
-                own = np.repeat(np.arange(len(open_rows)), sizes)[a : a + 20_000]
-                some = at[a : a + 20_000]
-                cells = rows.at[some][:, None] * self.blocks + order[open_rows[own], done:last]
+                own, some = turn[a : a + 20_000], at[a : a + 20_000]
+                cells = seldom.at[some][:, None] * self.blocks + here[own]
                 begin, size = self.starts[cells].ravel(), (self.starts[cells + 1] - self.starts[cells]).ravel()
-                flat = _spread(begin, size)
-                many = size.reshape(cells.shape).sum(1)
-                new.append((np.repeat(open_rows[own], many) * n + self.places[flat], self.values[flat] * np.repeat(w[some], many)))
-            keys = np.concatenate([x for x, _ in new])
-            keys, where = np.unique(keys, return_inverse=True)
-            sums = np.bincount(where, weights=np.concatenate([x for _, x in new]), minlength=len(keys))
+                flat, many = _spread(begin, size), size.reshape(cells.shape).sum(1)
+                into = np.repeat((own[:, None] * here.shape[1] + np.arange(here.shape[1])).ravel() * BLOCK, size) + self.places[flat] % BLOCK
+                sums += np.bincount(into, weights=self.values[flat] * np.repeat(seldom.values[some], many), minlength=len(sums))
+            # What stays below the k-th best so far can't be among the k best.  Equal examples keep equal cosines.
+            sums = np.round(sums, 12)
+            new = np.flatnonzero(sums >= np.maximum(np.repeat(floor[open_rows], here.shape[1] * BLOCK), 1e-12))
+            new_owner, new_place, sums = open_rows[new // (here.shape[1] * BLOCK)], here.ravel()[new // BLOCK] * BLOCK + new % BLOCK, sums[new]
             if without is not None:
-                other = keys % n != without[keys // n]
-                keys, sums = keys[other], sums[other]
-            owner, place, cosine = np.concatenate([owner, keys // n]), np.concatenate([place, keys % n]), np.concatenate([cosine, sums])
+                other = new_place != without[new_owner]
+                new_owner, new_place, sums = new_owner[other], new_place[other], sums[other]
+            owner, place, cosine = np.concatenate([owner, new_owner]), np.concatenate([place, new_place]), np.concatenate([cosine, sums])
             by = np.lexsort((place, -cosine, owner))
             owner, place, cosine = owner[by], place[by], cosine[by]
             first = np.searchsorted(owner, np.arange(rows.n + 1))
