@@ -247,6 +247,24 @@ def test_levels_gradients_and_probabilities():
     assert abs(np.exp(each).sum() - 1) < 1e-4
 
 
+def test_a_step_projects_each_id_once():
+    rows = []
+
+    class Noted(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *args, **how):
+            rows.extend([args[0].size // args[0].shape[-1]] * (ufunc is np.matmul))
+            return getattr(ufunc, method)(*(np.asarray(x) for x in args), **how)
+
+    model = attention.Levels(np.array([50, 0, 9, 8, 7, 2, 1, 1, 1, 0], float), classes=4, width=4, inner=5, context=4, hop=4)
+    inputs, targets, _ = model.windows([np.array([2, 3, 2, 4, 3] * 20), np.array([4, 2])])
+    plain = model.gradients(inputs, targets)
+    for k in ("K", "V"):
+        model.p[k] = model.p[k].view(Noted)
+    noted = model.gradients(inputs, targets)
+    assert len(rows) >= 4 and max(rows) <= len(np.unique(inputs))
+    assert noted[0] == plain[0] and all(np.array_equal(noted[1][k], plain[1][k]) for k in plain[1])
+
+
 def test_lm_sees_the_order_of_frequent_words(spark):
     names = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu", "re") for b in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"]
     rng = np.random.default_rng(2)
