@@ -17,6 +17,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,8 @@ class Units:
 
     def __init__(self, pattern: str, word, most_parts: int = CACHE_PARTS, most_words: int = CACHE_WORDS):
         self.split, self.make = regex.compile(pattern).findall, word
+        #: Whether a line break between words is a pre-token of its own in this pattern.
+        self.lines = self.split(" a\nb") == [" a", "\n", "b"] and all(self.split(f" a{x}\nb") == [" a", x, "\n", "b"] for x in ENDS)
         self.most_parts, self.most_words = most_parts, most_words
         self.parts, self.old_parts, self.words, self.old_words = {}, {}, {}, {}
 
@@ -180,13 +183,12 @@ class Units:
         return self.joined_any(text) is not None
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.joined(text):
-            return self.whole(text)
         head, *parts = text.split(" ")
         known = self.parts
-        if missing := [p for p in parts if p not in known]:
+        if missing := list(dict.fromkeys(filterfalse(known.__contains__, parts))):
+            # Parts that begin with white space are never in the cache, so only a text that misses some can be joined.
+            if any(p[:1].isspace() or not p for p in missing) and self.joined(text):
+                return self.whole(text)
             long = self.fill(missing)
             tail = b"".join(map(known.__getitem__, parts))
             for p in long:
@@ -198,35 +200,49 @@ class Units:
         return self.whole(head) + tail if head else tail
 
     def whole(self, text: str) -> bytes:
-        return b"".join([self.word(p) for p in self.split(text)])
+        words = self.words
+        return b"".join([words.get(p) or self.word(p) for p in self.split(text)])
 
     def word(self, p: str) -> bytes:
         ids = self.words.get(p)
         if ids is None:
-            ids = self.old_words.get(p)
-            if ids is None:
-                ids = self.make(p)
+            ids = self.old_words.get(p) or self.make(p)
             if len(p) <= CACHE_CHARS:
                 if len(self.words) >= self.most_words // 2:
                     self.words, self.old_words = {}, self.words
                 self.words[p] = ids
         return ids
 
+    def spaced(self, p: str) -> bytes:
+        """Ids of a space and the letters ``p``, which are a part themselves."""
+        ids = self.parts.get(p) or self.old_parts.get(p)
+        if ids is None:
+            ids = self.make(" " + p)
+            if len(p) <= CACHE_CHARS:
+                self.parts[p] = ids
+        return ids
+
     def part(self, p: str) -> bytes:
         """Ids of a space and ``p``."""
-        if p.isalpha():
-            return self.word(" " + p)
-        if p[-1:] in ENDS and p[:-1].isalpha():
-            return self.word(" " + p[:-1]) + self.word(p[-1])
+        if p[:-1].isalpha() and p[-1] in ENDS:
+            return self.spaced(p[:-1]) + self.word(p[-1])
+        if self.lines:
+            # The last word of a line, its sign if any, the line break, and the first word of the next line.
+            a, _, b = p.partition("\n")
+            if b.isalpha():
+                if a.isalpha():
+                    return self.spaced(a) + self.word("\n") + self.word(b)
+                if a[:-1].isalpha() and a[-1] in ENDS:
+                    return self.spaced(a[:-1]) + self.word(a[-1]) + self.word("\n") + self.word(b)
         return self.whole(" " + p)
 
     def fill(self, missing: list[str]) -> list[str]:
         """Put the missing parts into the cache; returns those too long to stay."""
-        known, old = self.parts, self.old_parts
+        known, old, make, part = self.parts, self.old_parts.get, self.make, self.part
         for p in missing:
-            ids = old.get(p)
-            known[p] = self.part(p) if ids is None else ids
-        return [p for p in missing if len(p) > CACHE_CHARS]
+            # What this cache has just dropped, a word alone, or more than a word.
+            known[p] = old(p) or (make(" " + p) if p.isalpha() else part(p))
+        return [p for p in missing if len(p) > CACHE_CHARS or not p]
 
 
 def codec(rank_file: bytes, pattern: str) -> Codec:

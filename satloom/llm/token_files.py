@@ -112,7 +112,8 @@ def _encoder(model: str, pattern: str) -> Callable[[str], bytes]:
         raw = [i.to_bytes(4, "little") for i in range(whole.get_vocab_size())]
 
         def word(text: str) -> bytes:
-            found = bpe(_shown_as(text))
+            # Most are a space and letters; see ``_shown_as``.
+            found = bpe("\u0120" + text[1:] if text[0] == " " and text.isascii() and text[1:].isalpha() else _shown_as(text))
             return raw[found[0].id] if len(found) == 1 else b"".join([raw[x.id] for x in found])
 
         encode = Units(pattern, word, CACHE_PARTS, CACHE_WORDS).encode

@@ -68,6 +68,20 @@ def test_token_file_query(spark, documents):
         at += len(ids)
 
 
+def test_parts_over_line_breaks_need_no_pattern():
+    import regex
+
+    plain = lambda t: b"".join(w.encode() + b"|" for w in regex.findall(public.PATTERN, t))
+    units = bpe.Units(public.PATTERN, lambda w: w.encode() + b"|", 8, 8)
+    seen, real = [], units.split
+    units.split = lambda t: seen.append(t) or real(t)
+    for t in ["one two.\nThree four\nfive two, four", "one two.\nThree \u00e9t\u00e9!\n\u00c9t\u00e9 two"] * 2:
+        assert units.encode(t) == plain(t)
+    assert set(seen) == {"one"}
+    for t in ["", " ", "a ", "a  b", "a \n b", "a\n ", "a b\u00a0 ", "a \u2003b", " a.\nb's c\n\nd e\n f", "two.\n two. \nthree ", "a 1\nb b\n1 " + "x" * 99 + ".\nb " + "x" * 99] * 3:
+        assert units.encode(t) == plain(t)
+
+
 def test_added_tokens_in_texts(spark, tmp_path):
     from tokenizers import Tokenizer
 
