@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from satloom.llm import attention, bpe, common, decontaminate, html_text, lm_scoring, near_dedup, quality_classifier, token_files, toxicity
 
@@ -316,6 +317,60 @@ def test_lm_base_scores(spark, documents):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
+def test_lm_fit_reads_each_text_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"stone number {i}") for i in range(60)], "doc_id bigint, text string")
+    docs = docs.select("doc_id", F.udf(noted)("text").alias("text"))
+    model, counts = lm_scoring.fit(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, steps=3)
+    assert model["total"] == 240 and seen.value <= 2 * 60  # the words are counted, then the ids are stored
+
+
+def test_lm_ids_of_words_together():
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        speller = lm_scoring.Speller(f.read(), public.PATTERN, [])
+    plain = ["a", "'s", "don't", "1234", "x9y", "...", "Straße", "\u4e2d\u6587", "\x00", "it's!", "#", "e\u0301"] * 60
+    for words in (plain, [*plain, "\u00a0", "a\u00a0", "\u00a0\u00a0b", "\u2003x", "\u0085", "\x1c"] * 2, []):
+        words = [w.encode() for w in words]
+        ids, sizes = speller.raws(words)
+        assert ids.tolist() == [i for w in words for i in speller.raw(w)] and sizes.tolist() == [len(speller.raw(w)) for w in words]
+
+
+def test_lm_reader_forgets_words_beyond_the_table(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CACHE_WORDS", 3)
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        speller = lm_scoring.Speller(f.read(), public.PATTERN, [])
+    reader = lm_scoring.Reader([(b"stone", 3), (b"river", 2)], 8, 5, 2, speller)
+    same = np.arange(reader.end + 1, dtype=np.int32)
+    for texts in (["stone a b stone"], [None, "c d c", "river"], ["e f g h i stone e"], ["a stone", ""]):
+        n, known, base, rare, ids = reader.read(texts)
+        words = [lm_scoring.words_of(t) for t in texts]
+        assert n.to_pylist() == [len(w) + 1 for w in words]
+        assert known.to_pylist() == [1 + sum(x in (b"stone", b"river") for x in w) for w in words]
+        assert [{r["word"]: r["n"] for r in x} for x in rare.to_pylist()] == [Counter(x for x in w if x not in (b"stone", b"river")) for w in words]
+        assert [x.tolist() for x in lm_scoring.streams(ids, np.uint16, same)] == [[*(i for x in w for i in speller.raw(x)), reader.end] for w in words]
+        c = {b"stone": 3, b"river": 2}
+        for got, w in zip(base.to_pylist(), words, strict=True):
+            assert math.isclose(got, sum(math.log10((x + 0.1) / 8.6) for x in [2, *(c[y] for y in w if y in c)]))
+
+
+def test_levels_large_logits():
+    for factor in (1, 300):
+        model = attention.Levels(np.array([50, 0, 9, 8, 7, 2, 1, 1, 1, 0], float), classes=4, width=4, inner=5, context=4, hop=4)
+        model.p = {k: v.astype(np.float64) * (factor if k in "UQ" else 1) for k, v in model.p.items()}
+        inputs, targets, _ = model.windows([np.arange(10), np.arange(3)])
+        loss, grad = model.gradients(inputs, targets)
+        model.prepare()
+        logs = model.log_probs(inputs, targets)
+        assert math.isclose(loss, -logs.sum() / 13, rel_tol=1e-5) and (logs[targets < 0] == 0).all() and all(np.isfinite(g).all() for g in grad.values())
+        p = np.exp([[model.log_probs(inputs[:1], np.where(np.arange(4) == 2, i, -1)[None])[0, 2] for i in range(10)]])
+        assert math.isclose(p.sum(), 1, rel_tol=1e-5)
+
+
 def test_page_text(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href=x>m</a></ul></nav><div class='ad'>buy</div><article><h1>H</h1><p><b>one &amp; two<br><p>three\n four</p><form>f</form></article><div id=comments><p>no</div><footer>f</footer>"
     assert html_text.main_text(page) == "H\none & two\nthree four"
