@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -340,6 +341,13 @@ def test_lm_ids_of_words_together():
         assert ids.tolist() == [i for w in words for i in speller.raw(w)] and sizes.tolist() == [len(speller.raw(w)) for w in words]
 
 
+@given(st.lists(st.none() | TEXT, max_size=6))
+@settings(deadline=None)
+def test_lm_words_split(texts):
+    lists = lm_scoring.split(pa.array([None, *texts], pa.string())[1:])
+    assert [[w.encode() for w in x or [] if w] for x in lists.to_pylist()] == [lm_scoring.words_of(t) for t in texts]
+
+
 def test_lm_reader_forgets_words_beyond_the_table(monkeypatch):
     monkeypatch.setattr(lm_scoring, "CACHE_WORDS", 3)
     with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
@@ -347,7 +355,7 @@ def test_lm_reader_forgets_words_beyond_the_table(monkeypatch):
     reader = lm_scoring.Reader([(b"stone", 3), (b"river", 2)], 8, 5, 2, speller)
     same = np.arange(reader.end + 1, dtype=np.int32)
     for texts in (["stone a b stone"], [None, "c d c", "river"], ["e f g h i stone e"], ["a stone", ""]):
-        n, known, base, rare, ids = reader.read(texts)
+        n, known, base, rare, ids = reader.read(pa.array(texts, pa.string()))
         words = [lm_scoring.words_of(t) for t in texts]
         assert n.to_pylist() == [len(w) + 1 for w in words]
         assert known.to_pylist() == [1 + sum(x in (b"stone", b"river") for x in w) for w in words]
