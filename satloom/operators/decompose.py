@@ -8,12 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from . import kmers
-from .tables import stored
+from .growth import Texts, chunks
+from .growth import codes as _codes
+from .tables import importable, stored
 
 DEPTH = 100
 #: Distinct monomers among which the reference monomer is sought.
@@ -48,28 +50,48 @@ def first_pass_pieces(seq: Column, cut: Column, period: Column, compat: bool = T
     return F.flatten(F.transform(led, lambda x: S.even_parts(x, period)))
 
 
-def first_pass(arrays: DataFrame, cuts: DataFrame, compat: bool = True) -> DataFrame:
-    """(array_ord, cut, score, period, pieces)."""
-    both = arrays.select("array_ord", "seq").join(cuts, "array_ord")
+def first_pass(cuts: DataFrame, compat: bool = True) -> DataFrame:
+    """(array_ord, cut, score, period, pieces) of arrays with their cuts."""
     whole = F.when(F.col("cut") == F.col("seq"), F.array("seq") if not compat else F.array("seq", "seq"))
-    return both.select("array_ord", "cut", "score", "period", F.coalesce(whole, first_pass_pieces(F.col("seq"), F.col("cut"), F.col("period"), compat)).alias("pieces"))
+    return cuts.select("array_ord", "cut", "score", "period", F.coalesce(whole, first_pass_pieces(F.col("seq"), F.col("cut"), F.col("period"), compat)).alias("pieces"))
+
+
+def counted(pieces: Column) -> Column:
+    """Distinct pieces as (less, i, m): minus their count, their first place and themselves; the commonest first, then the earliest."""
+    placed = F.array_sort(F.transform(pieces, lambda x, i: F.struct(x.alias("m"), i.alias("i"))))
+    bound = lambda value, fn: F.transform(F.array(value), fn)[0]  # noqa: E731  lambdas would compute it again
+
+    def runs(s: Column) -> Column:
+        at = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        begin = F.filter(at, lambda k: (k == 0) | (F.get(s, k)["m"] != F.get(s, k - 1)["m"]))
+        return F.array_sort(bound(begin, lambda b: F.transform(b, lambda k, j: F.struct((k - F.coalesce(F.get(b, j + 1), F.size(s))).alias("less"), F.get(s, k)["i"].alias("i"), F.get(s, k)["m"].alias("m")))))
+
+    return bound(placed, runs)
 
 
 def monomer_counts(pieces: DataFrame) -> DataFrame:
     """(array_ord, monomer, n, first_ord) of every distinct piece."""
-    return pieces.select("array_ord", F.posexplode("pieces").alias("i", "monomer")).groupBy("array_ord", "monomer").agg(F.count("*").alias("n"), F.min("i").alias("first_ord"))
+    each = pieces.select("array_ord", F.explode(counted(F.col("pieces"))).alias("x"))
+    return each.select("array_ord", F.col("x.m").alias("monomer"), (-F.col("x.less")).cast("bigint").alias("n"), F.col("x.i").alias("first_ord"))
 
 
-def reference_monomers(pieces: DataFrame, strict: bool = True) -> DataFrame:
-    """(array_ord, reference, n): the commonest piece as long as the period.
+def reference_monomer(pieces: Column, period: Column, candidates: int | None = None) -> Column:
+    """(reference, n): the commonest piece as long as the period, null if there is none; equal counts go to the first.
 
-    At most ``CANDIDATES`` distinct pieces by count are looked at, as the tie rules of the counts give
-    them.  Without ``strict`` arrays that have none are left out; with it they raise.
+    With ``candidates`` only so many distinct pieces are looked at, the commonest of any length.
     """
-    counts = monomer_counts(pieces)
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("array_ord").orderBy(F.desc("n"), "first_ord"))).where(F.col("rank") <= CANDIDATES)
-    found = ranked.join(pieces.select("array_ord", "period"), "array_ord").where(F.length("monomer") == F.col("period"))
-    return found.groupBy("array_ord").agg(F.min_by(F.struct(F.col("monomer").alias("reference"), "n"), "rank").alias("r")).select("array_ord", "r.reference", "r.n")
+    if candidates:
+        best = F.filter(F.slice(counted(pieces), 1, candidates), lambda x: F.length(x["m"]) == period)
+    else:
+        best = counted(F.filter(pieces, lambda x: F.length(x) == period))
+    first = F.get(best, F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first["m"].alias("reference"), (-first["less"]).cast("bigint").alias("n")))
+
+
+def reference_monomers(pieces: DataFrame) -> DataFrame:
+    """(array_ord, reference, n): the commonest piece as long as the period; arrays that have none are left out."""
+    found = pieces.select("array_ord", reference_monomer(F.col("pieces"), F.col("period"), CANDIDATES).alias("r"))
+    return found.where("r is not null").select("array_ord", "r.reference", "r.n")
 
 
 def refined(piece: Column, reference: Column, period: Column) -> Column:
@@ -88,9 +110,9 @@ def refined(piece: Column, reference: Column, period: Column) -> Column:
     return F.when(size / period <= LONG, F.array(piece)).otherwise(F.coalesce(F.transform(F.array(close), cut)[0], F.array(piece)))
 
 
-def second_pass_round(pieces: DataFrame) -> DataFrame:
+def second_pass_round(pieces: DataFrame, candidates: int | None = None) -> DataFrame:
     """One refinement of all arrays: (array_ord, cut, score, period, pieces, changed)."""
-    known = pieces.join(reference_monomers(pieces).select("array_ord", "reference"), "array_ord", "left")
+    known = pieces.withColumn("reference", reference_monomer(F.col("pieces"), F.col("period"), candidates)["reference"])
     new = F.when(F.col("reference").isNull(), F.col("pieces")).otherwise(F.flatten(F.transform("pieces", lambda x: refined(x, F.col("reference"), F.col("period")))))
     out = known.withColumn("new", new)
     return out.select("array_ord", "cut", "score", "period", F.col("new").alias("pieces"), (F.size("new") != F.size("pieces")).alias("changed"))
@@ -109,11 +131,9 @@ def refine_to_fixpoint(pieces: DataFrame) -> DataFrame:
 
 
 def decompose_native(arrays: DataFrame, depth: int = DEPTH, cutoff: int | None = None, compat: bool = True) -> DataFrame:
-    """(array_ord, cut, score, period, pieces) by DataFrame operators alone."""
+    """(array_ord, cut, score, period, pieces): passes and refinement by DataFrame operators, rounds of all arrays at once."""
     based = with_cutoff(arrays.select("array_ord", "seq"), cutoff, sticky=compat)
-    tree = stored(kmers.kmer_tree(based, depth, F.col("cutoff")))
-    cuts = kmers.best_cut(kmers.hint_periods(kmers.hints(tree), based), based)
-    start = first_pass(based.where("seq <> ''"), cuts, compat)
+    start = first_pass(kmers.best_cut(based.where("seq <> ''"), depth, F.col("cutoff")), compat)
     empty = based.where("seq = ''").select("array_ord", F.lit("").alias("cut"), F.lit(0.0).alias("score"), F.lit(0).alias("period"), F.array().cast("array<string>").alias("pieces"))
     return refine_to_fixpoint(start).unionByName(empty)
 
@@ -141,64 +161,26 @@ def distance(a: str, b: str) -> int:
     return score
 
 
-def _codes(text: str) -> np.ndarray:
-    """Code points of a text."""
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _best_cut(seq: str, depth: int, cutoff: int) -> tuple[str, float, int]:
-    """Cut, score and period: all k-mers of a length are grouped at once, as numbers of positions."""
-    raw = _codes(seq)
-    counts = {b: seq.count(b) for b in S.TIE_ORDER}
-    places = np.flatnonzero(raw == ord(max(S.TIE_ORDER, key=lambda b: counts[b])))
-    added = np.full(len(raw) + depth, 4)
-    for k, b in enumerate(kmers.BASE_ORDER):
-        added[: len(raw)][raw == ord(b)] = k
-    # Groups are numbered by their first place; positions stay in ascending order.
-    group, n_groups = np.zeros(len(places), np.int64), 1
-    votes: dict[int, list] = {}
-    for length in range(2, depth + 1):
-        base = added[places + length - 1]
-        whole = base < 4
-        places, key = places[whole], group[whole] * 4 + base[whole]
-        n = np.bincount(key, minlength=4 * n_groups)
-        frequent = n > cutoff
-        if not frequent.any():
-            break
-        stay = frequent[key]
-        places, key = places[stay], key[stay]
-        first = np.full(4 * n_groups, len(seq))
-        first[key[::-1]] = places[::-1]
-        at = first[np.where(frequent, n, 0).argmax()]
-        hint = seq[at : at + length]
-        order = np.argsort(first, kind="stable")
-        number = np.empty(4 * n_groups, np.int64)
-        number[order] = np.arange(4 * n_groups)
-        group, n_groups = number[key], int(frequent.sum())
-        sizes = Counter(map(len, seq.split(hint)))
-        gap, n_gap = max(sizes.items(), key=lambda x: x[1])
-        score = n_gap / sizes.total()
-        vote = votes.setdefault(gap + length, [0, hint, score])
-        vote[0] += 1
-        if score > vote[2]:
-            vote[1:] = hint, score
-    if not votes:
-        return seq, 0.0, len(seq)
-    period, (_, cut, score) = max(votes.items(), key=lambda x: x[1][0])
-    return cut, score, period
-
-
 def _even(piece: str, period: int) -> list[str]:
     if not piece or period <= 0 or len(piece) % period:
         return [piece]
     return [piece[i : i + period] for i in range(0, len(piece), period)]
 
 
+def decompose_texts(seqs: list[str], depth: int, cutoffs: list[int], compat: bool = True) -> Iterator[tuple[str, float, int, list[str]]]:
+    """Cut, score, period and pieces of each array; cuts are sought in many arrays at once."""
+    for part in chunks(list(map(len, seqs))):
+        for seq, found in zip(seqs[part], Texts(seqs[part], cutoffs[part]).cuts(depth), strict=True):
+            yield (*found, _refined_pieces(seq, *found, compat)) if seq else ("", 0.0, 0, [])
+
+
 def decompose_text(seq: str, depth: int = DEPTH, cutoff: int = S.LEAST_CUTOFF, compat: bool = True) -> tuple[str, float, int, list[str]]:
     """Cut, score, period and pieces of one array."""
-    if not seq:
-        return "", 0.0, 0, []
-    cut, score, period = _best_cut(seq, depth, cutoff)
+    return next(decompose_texts([seq], depth, [cutoff], compat))
+
+
+def _refined_pieces(seq: str, cut: str, _: float, period: int, compat: bool) -> list[str]:
+    """Pieces of one array, refined until nothing changes."""
     if cut == seq:
         pieces = [seq, seq] if compat else [seq]
     else:
@@ -210,12 +192,12 @@ def decompose_text(seq: str, depth: int = DEPTH, cutoff: int = S.LEAST_CUTOFF, c
         distinct = Counter(pieces)
         reference = next((m for m, _ in sorted(distinct.items(), key=lambda x: -x[1])[:CANDIDATES] if len(m) == period), None)
         if reference is None:
-            return cut, score, period, pieces
+            return pieces
         long = [x for x in distinct if len(x) / len(reference) > LONG and (reference, x) not in known]
         known.update(((reference, x), [y for y in (x[:at], x[at:]) if y]) for x, at in zip(long, split_places(long, reference), strict=True))
         after = [y for x in pieces for y in known.get((reference, x), (x,))]
         if len(after) == len(pieces):
-            return cut, score, period, after
+            return after
         pieces = after
 
 
@@ -258,14 +240,6 @@ def split_places(pieces: list[str], reference: str) -> list[int]:
     return np.where(2 * found[best] >= n, 0, np.where(at == 0, n, at)).tolist()
 
 
-def importable(spark: SparkSession) -> None:
-    """Python workers of this machine find this package where the driver has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
-
-
 def decompose(arrays: DataFrame, depth: int = DEPTH, cutoff: int | None = None, compat: bool = True, check: bool = False) -> DataFrame:
     """Bulk path: (array_ord, header, cut, score, period, pieces) in Arrow batches, one array a row.
 
@@ -277,7 +251,7 @@ def decompose(arrays: DataFrame, depth: int = DEPTH, cutoff: int | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [decompose_text(s, depth, c, compat) for s, c in zip(batch.column("seq").to_pylist(), batch.column("cutoff").to_pylist(), strict=True)]
+            rows = list(decompose_texts(batch.column("seq").to_pylist(), depth, batch.column("cutoff").to_pylist(), compat))
             if rows:
                 problem = ["empty array" if not s else "" if any(len(x) == p for x in x4) else "no monomer as long as the period" for s, (_, _, p, x4) in zip(batch.column("seq").to_pylist(), rows, strict=True)]
                 kinds = [pa.string(), pa.float64(), pa.int32(), pa.list_(pa.string())]

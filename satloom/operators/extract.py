@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import elements
+
 DISTANCES = ("hd", "ed")
 
 
@@ -18,7 +20,7 @@ def monomer_table(arrays: DataFrame, distance: int = 0, function: str = "hd") ->
         raise ValueError("distance must not be negative")
     if function not in DISTANCES:
         raise ValueError(f"function must be one of {', '.join(DISTANCES)}")
-    each = arrays.select("array_ord", F.posexplode("pieces").alias("i", "monomer"))
+    each = elements(arrays, "pieces", "monomer", "array_ord")
     # By array first, so that both aggregates are of plain numbers and need no sort.
     own = each.groupBy("array_ord", "monomer").agg(F.count("*").alias("n"), F.min("i").alias("i"))
     counted = own.groupBy("monomer").agg(F.sum("n").alias("n"), F.min("array_ord").alias("first_ord"), F.min_by("i", "array_ord").alias("first_pos"))
@@ -33,9 +35,12 @@ def totals(arrays: DataFrame) -> DataFrame:
     return sums.crossJoin(arrays.agg(F.count("*").alias("n_arrays")))  # one row by one row
 
 
-def diagnostics(arrays: DataFrame, references: DataFrame) -> DataFrame:
-    """Every piece with the count of its first five bases in the array and its distance to the reference monomer."""
-    each = arrays.select("array_ord", F.posexplode("pieces").alias("i", "monomer")).withColumn("head", F.expr("left(monomer, 5)"))
-    heads = each.groupBy("array_ord", "head").agg(F.count("*").alias("n_head"))
-    both = each.join(heads, ["array_ord", "head"]).join(references, "array_ord")
-    return both.select("array_ord", "i", F.length("monomer").alias("length"), "n_head", "monomer", F.levenshtein("monomer", "reference").alias("distance"))
+def diagnostics(arrays: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """Every piece with the count of its first five bases in the array and its distance to the reference monomer.
+
+    Without ``references`` the arrays have a column ``reference``, null where there is none.
+    """
+    known = arrays.where("reference is not null") if references is None else arrays.join(references.hint("merge"), "array_ord")  # never broadcast, whatever the plan takes its size for
+    each = elements(known, "pieces", "monomer", "array_ord", "reference")
+    n_head = F.count("*").over(Window.partitionBy("array_ord", F.expr("left(monomer, 5)")))
+    return each.select("array_ord", "i", F.length("monomer").alias("length"), n_head.alias("n_head"), "monomer", F.levenshtein("monomer", "reference").alias("distance"))

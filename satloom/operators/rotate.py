@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from . import growth as G
+from .tables import elements, importable
 
 K = 5
 CANDIDATES = 100
@@ -27,15 +33,22 @@ def oriented(arrays: DataFrame, start: str | None = None) -> DataFrame:
 
 def kmer_census(arrays: DataFrame, k: int = K) -> DataFrame:
     """(kmer, n, first_ord, first_pos) over the joined arrays; a run of the same k-mer counts once."""
-    joined = arrays.select("array_ord", F.array_join("pieces", "").cast("binary").alias("s"))
-    last = F.length("s") - k
-    each = joined.where(last >= 0).select("array_ord", "s", F.explode(F.sequence(F.lit(0), last)).alias("p"))
-    kmer = lambda p: F.substring("s", p + 1, F.lit(k))
-    fresh = each.where((F.col("p") == 0) | (kmer(F.col("p")) != kmer(F.col("p") - 1)))
-    # By array first: counts and places are plain numbers, which hash aggregates take without a sort.
-    own = fresh.groupBy("array_ord", kmer(F.col("p")).alias("kmer")).agg(F.count("*").alias("n"), F.min("p").alias("p"))
-    counted = own.groupBy("kmer").agg(F.sum("n").alias("n"), F.min("array_ord").alias("first_ord"), F.min_by("p", "array_ord").alias("first_pos"))
-    return counted.select(F.col("kmer").cast("string").alias("kmer"), "n", "first_ord", "first_pos")
+    importable(arrays.sparkSession)
+    joined = arrays.select(F.col("array_ord").cast("long").alias("array_ord"), F.array_join("pieces", "").alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # In the order of arrays, so that the first place among the texts is the first of all.
+            # Short ones go here: a condition on the text would have its whole expression computed again below.
+            batch = batch.filter(pc.greater_equal(pc.utf8_length(batch.column("s")), k)).sort_by("array_ord")
+            texts, ords = batch.column("s").to_pylist(), batch.column("array_ord").to_numpy()
+            for part in G.chunks(list(map(len, texts))):
+                owner, n, place = G.census(texts[part], k)
+                columns = [[texts[part][i][p : p + k] for i, p in zip(owner.tolist(), place.tolist(), strict=True)], n, ords[part][owner], place]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.int32()], strict=True)], ["kmer", "n", "a", "p"])
+
+    counted = joined.mapInArrow(run, "kmer string, n long, a long, p int").groupBy("kmer").agg(F.sum("n").alias("n"), F.min(F.struct("a", "p")).alias("f"))
+    return counted.select("kmer", "n", F.col("f.a").alias("first_ord"), F.col("f.p").alias("first_pos"))
 
 
 def start_kmers(arrays: DataFrame, census: DataFrame) -> DataFrame:
@@ -46,7 +59,7 @@ def start_kmers(arrays: DataFrame, census: DataFrame) -> DataFrame:
     """
     top = census.orderBy(F.desc("n"), "first_ord", "first_pos").limit(CANDIDATES)
     ranked = top.select("kmer", F.row_number().over(Window.orderBy(F.desc("n"), "first_ord", "first_pos")).alias("rank"))
-    monomers = arrays.select(F.explode("pieces").alias("m")).groupBy("m").agg(F.count("*").alias("n"))
+    monomers = elements(arrays, "pieces", "m").groupBy("m").agg(F.count("*").alias("n"))
     listed = ranked.agg(F.collect_list(F.struct("kmer", "rank")).alias("kmers"))
     pairs = monomers.crossJoin(F.broadcast(listed)).select("m", "n", F.explode("kmers").alias("k"))  # one row of a hundred
     copies = S.occurrences(F.col("m"), F.col("k.kmer"))
