@@ -18,7 +18,7 @@ from .growth import codes as _codes
 from .tables import importable, stored
 
 DEPTH = 100
-#: Distinct monomers among which the reference monomer is sought.
+#: Distinct monomers among which ``second_pass_once`` seeks the reference monomer, as its SQL does; all others look at all.
 CANDIDATES = 1000
 #: Pieces up to this many periods are left alone by the refinement.
 LONG = 1.3
@@ -90,7 +90,7 @@ def reference_monomer(pieces: Column, period: Column, candidates: int | None = N
 
 def reference_monomers(pieces: DataFrame) -> DataFrame:
     """(array_ord, reference, n): the commonest piece as long as the period; arrays that have none are left out."""
-    found = pieces.select("array_ord", reference_monomer(F.col("pieces"), F.col("period"), CANDIDATES).alias("r"))
+    found = pieces.select("array_ord", reference_monomer(F.col("pieces"), F.col("period")).alias("r"))
     return found.where("r is not null").select("array_ord", "r.reference", "r.n")
 
 
@@ -190,7 +190,7 @@ def _refined_pieces(seq: str, cut: str, _: float, period: int, compat: bool) ->
     known: dict[tuple[str, str], list[str]] = {}
     while True:
         distinct = Counter(pieces)
-        reference = next((m for m, _ in sorted(distinct.items(), key=lambda x: -x[1])[:CANDIDATES] if len(m) == period), None)
+        reference = next((m for m, _ in sorted(distinct.items(), key=lambda x: -x[1]) if len(m) == period), None)
         if reference is None:
             return pieces
         long = [x for x in distinct if len(x) / len(reference) > LONG and (reference, x) not in known]

@@ -6,6 +6,9 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from satloom.operators import decompose as D
 from satloom.operators import growth as G
 from satloom.operators import rotate as O
 from satloom.plans import files, registry  # noqa: F401
@@ -72,3 +75,24 @@ def test_chunks_hold_every_text(monkeypatch):
     sizes = [0, 4, 6, 1, 30, 30, 2, 0]
     assert [i for part in G.chunks(sizes) for i in range(part.start, part.stop)] == list(range(len(sizes)))
     assert all(sum(sizes[p]) <= 10 or p.stop - p.start == 1 for p in G.chunks(sizes)) and list(G.chunks([])) == []
+
+
+#: 1,010 pieces of five bases, each twice, come before the only pieces as long as the period.
+CROWDED = [x for a in "ACGT" for b in "ACGT" for c in "ACGT" for d in "ACGT" for e in "ACGT" for x in [a + b + c + d + e] * 2][:2020] + ["ACG", "TTT", "ACG"]
+
+
+def crowded(spark):
+    return spark.createDataFrame([(1, CROWDED, 3), (2, ["A", "A"], 3)], "array_ord long, pieces array<string>, period int")
+
+
+def test_reference_among_more_than_a_thousand_pieces(spark):
+    assert [tuple(r) for r in D.reference_monomers(crowded(spark)).collect()] == [(1, "ACG", 2)]
+    capped = crowded(spark).select(D.reference_monomer(F.col("pieces"), F.col("period"), D.CANDIDATES).alias("r"))
+    assert [r["r"] for r in capped.collect()] == [None, None]
+    assert all("1000" not in registry.SQL[q].partition("ref AS")[2] for q in ("reference_monomer",))
+
+
+def test_reference_is_the_first_of_equals(spark):
+    df = spark.createDataFrame([(1, ["CC", "AA", "T", "AA", "CC", "T", "T"], 2), (2, [], 2)], "array_ord long, pieces array<string>, period int")
+    assert [tuple(r) for r in D.reference_monomers(df).collect()] == [(1, "CC", 2)]
+    assert sorted(tuple(r) for r in D.monomer_counts(df).collect()) == [(1, "AA", 2, 1), (1, "CC", 2, 0), (1, "T", 3, 2)]
