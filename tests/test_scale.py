@@ -89,10 +89,17 @@ def test_reference_among_more_than_a_thousand_pieces(spark):
     assert [tuple(r) for r in D.reference_monomers(crowded(spark)).collect()] == [(1, "ACG", 2)]
     capped = crowded(spark).select(D.reference_monomer(F.col("pieces"), F.col("period"), D.CANDIDATES).alias("r"))
     assert [r["r"] for r in capped.collect()] == [None, None]
-    assert all("1000" not in registry.SQL[q].partition("ref AS")[2] for q in ("reference_monomer",))
+    assert all("1000" not in registry.SQL[q].partition("ref AS")[2] for q in ("reference_monomer", "diagnostics"))
 
 
 def test_reference_is_the_first_of_equals(spark):
     df = spark.createDataFrame([(1, ["CC", "AA", "T", "AA", "CC", "T", "T"], 2), (2, [], 2)], "array_ord long, pieces array<string>, period int")
     assert [tuple(r) for r in D.reference_monomers(df).collect()] == [(1, "CC", 2)]
     assert sorted(tuple(r) for r in D.monomer_counts(df).collect()) == [(1, "AA", 2, 1), (1, "CC", 2, 0), (1, "T", 3, 2)]
+
+
+def test_diagnostics_of_more_than_a_thousand_pieces(spark, monkeypatch):
+    monkeypatch.setattr(D, "first_pass", lambda cuts: crowded(spark))
+    monkeypatch.setattr(registry, "_cut", lambda *_: None)
+    got = registry.diagnostics(spark, DATA).where("monomer = 'ACG' or i = 0").orderBy("i").collect()
+    assert [(r["array_ord"], r["i"], r["n_head"], r["distance"]) for r in got] == [(1, 0, 2, 4), (1, 2020, 2, 0), (1, 2022, 2, 0)]
