@@ -23,7 +23,8 @@ def _blocks(spark: SparkSession, path: str | list[str], separator: str) -> DataF
     splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("rid").alias("low"))
     order = Window.orderBy("file", "block")
     placed = splits.select("file", "block", "low", (F.sum("n").over(order) - F.col("n")).alias("before"), (F.lag("file").over(order).eqNullSafe(F.col("file"))).alias("inner"), (F.lead("file").over(order).eqNullSafe(F.col("file"))).alias("more"), "n")
-    both = rows.join(placed, ["file", "block"])
+    # Broadcast, or the texts would go through an exchange by file and split where these rows come from a large file.
+    both = rows.join(F.broadcast(placed), ["file", "block"])
     return both.select("file", (F.col("before") + F.col("rid") - F.col("low")).alias("ord"), (~F.col("inner") & (F.col("rid") == F.col("low"))).alias("first"), (~F.col("more") & (F.col("rid") == F.col("low") + F.col("n") - 1)).alias("last"), "value")
 
 

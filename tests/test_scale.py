@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from satloom.operators import growth as G
 from satloom.operators import rotate as O
 from satloom.plans import files, registry  # noqa: F401
 from satloom.plans import views as V
+from satloom.sources import readers
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(DATA).exists(), reason="no tables")
@@ -23,7 +25,7 @@ def plan(df):
 
 
 @tables
-@pytest.mark.parametrize("name", ["reference_monomer", "second_pass_once", "diagnostics", "best_cut", "first_pass", "hint_periods", "monomer_counts", "hints"])
+@pytest.mark.parametrize("name", ["reference_monomer", "second_pass_once", "diagnostics", "best_cut", "first_pass", "hint_periods", "monomer_counts", "hints", "kmer_census"])
 def test_arrays_grow_after_the_exchange_and_are_not_joined(spark, name):
     """A join would be taken for small, by the small file, and broadcast; one split of the file would do all the work."""
     got = plan(registry.QUERIES[name](spark, DATA))
@@ -32,6 +34,42 @@ def test_arrays_grow_after_the_exchange_and_are_not_joined(spark, name):
     assert "Filter" not in below and "repeat" not in below
 
 
+@tables
+@pytest.mark.parametrize("view", ["tandem_units"])
+def test_views_are_spread(spark, view):
+    """A table of parts is one split of a file."""
+    assert getattr(V, view)(spark, DATA).rdd.getNumPartitions() >= 4
+
+
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_census_of_many_texts(k):
+    rng = random.Random(k)
+    for letters in ("ACGT", "A", "ACGTN\u00e9\U0001f600", "".join(map(chr, range(32, 400)))):
+        texts = [x for x in ("".join(rng.choice(letters) for _ in range(rng.choice([k, k + 1, 60]))) * rng.randint(1, 2) for _ in range(9)) if len(x) >= k]
+        want = {}
+        for i, t in enumerate(texts):
+            for p in range(len(t) - k + 1):
+                if p == 0 or t[p : p + k] != t[p - 1 : p - 1 + k]:
+                    want.setdefault(t[p : p + k], [0, i, p])[0] += 1
+        assert {texts[i][p : p + k]: [n, i, p] for i, n, p in zip(*map(np.ndarray.tolist, G.census(texts, k)), strict=True)} == want
+
+
+def test_census_keeps_the_first_place_over_batches(spark):
+    df = spark.createDataFrame([(9, ["AACCG"]), (2, ["TT", "AACCG"]), (5, ["AACCG"] * 2), (7, ["AC"]), (8, [])], "array_ord long, pieces array<string>").repartition(5)
+    assert {(r["kmer"], r["n"], r["first_ord"], r["first_pos"]) for r in O.kmer_census(df).collect()} >= {("AACCG", 4, 2, 2), ("TTAAC", 1, 2, 0), ("CCGAA", 1, 5, 2)}
+
+
+@pytest.mark.parametrize("reader", ["read_tab"])
+def test_texts_stay_where_they_were_read(spark, tmp_path, reader):
+    """The rows of splits are broadcast whatever the size of the file, so that no text goes through an exchange."""
+    (tmp_path / "x").write_text(">a\tb\nc\td\n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in getattr(readers, reader)(spark, str(tmp_path / "x"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def cut_of(seq, depth, cutoff):
     """The rules for one text, step by step."""
     top = max("ACTG", key=seq.count)
