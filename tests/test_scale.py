@@ -59,7 +59,7 @@ def test_census_keeps_the_first_place_over_batches(spark):
     assert {(r["kmer"], r["n"], r["first_ord"], r["first_pos"]) for r in O.kmer_census(df).collect()} >= {("AACCG", 4, 2, 2), ("TTAAC", 1, 2, 0), ("CCGAA", 1, 5, 2)}
 
 
-@pytest.mark.parametrize("reader", ["read_tab", "read_satellome"])
+@pytest.mark.parametrize("reader", ["read_tab", "read_satellome", "read_decomposed"])
 def test_texts_stay_where_they_were_read(spark, tmp_path, reader):
     """The rows of splits are broadcast whatever the size of the file, so that no text goes through an exchange."""
     (tmp_path / "x").write_text(">a\tb\nc\td\n")
