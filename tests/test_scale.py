@@ -25,7 +25,7 @@ def plan(df):
 
 
 @tables
-@pytest.mark.parametrize("name", ["reference_monomer", "second_pass_once", "diagnostics", "best_cut", "first_pass", "hint_periods", "monomer_counts", "hints", "kmer_census", "kmer_tree_deep"])
+@pytest.mark.parametrize("name", ["reference_monomer", "second_pass_once", "diagnostics", "best_cut", "first_pass", "hint_periods", "monomer_counts", "hints", "kmer_census", "kmer_tree_deep", "kmer_tree"])
 def test_arrays_grow_after_the_exchange_and_are_not_joined(spark, name):
     """A join would be taken for small, by the small file, and broadcast; one split of the file would do all the work."""
     got = plan(registry.QUERIES[name](spark, DATA))
