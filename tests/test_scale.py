@@ -35,7 +35,7 @@ def test_arrays_grow_after_the_exchange_and_are_not_joined(spark, name):
 
 
 @tables
-@pytest.mark.parametrize("view", ["tandem_units", "tandem_monomers", "heads"])
+@pytest.mark.parametrize("view", ["tandem_units", "tandem_monomers", "heads", "dna_tandem"])
 def test_views_are_spread(spark, view):
     """A table of parts is one split of a file."""
     assert getattr(V, view)(spark, DATA).rdd.getNumPartitions() >= 4
