@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from satloom.operators import decompose as D
+from satloom.operators import extract as E
 from satloom.operators import growth as G
 from satloom.operators import rotate as O
 from satloom.plans import files, registry  # noqa: F401
@@ -141,3 +142,16 @@ def test_diagnostics_of_more_than_a_thousand_pieces(spark, monkeypatch):
     monkeypatch.setattr(registry, "_cut", lambda *_: None)
     got = registry.diagnostics(spark, DATA).where("monomer = 'ACG' or i = 0").orderBy("i").collect()
     assert [(r["array_ord"], r["i"], r["n_head"], r["distance"]) for r in got] == [(1, 0, 2, 4), (1, 2020, 2, 0), (1, 2022, 2, 0)]
+
+
+def test_monomer_table_counts_in_workers(spark):
+    """One aggregate, of the distinct monomers of batches; before, all pairs of array and monomer went through an exchange."""
+    rng = random.Random(4)
+    rows = [(o, [rng.choice(["a", "b", "é", "cc", "", "d" * 9]) for _ in range(rng.choice([0, 1, 7]))]) for o in rng.sample(range(-50, 1 << 40), 60)] + [(3, None)]
+    want = {}
+    for o, pieces in sorted(rows[:-1]):
+        for i, m in enumerate(pieces):
+            want.setdefault(m, [0, o, i])[0] += 1
+    got = E.monomer_table(spark.createDataFrame(rows, "array_ord long, pieces array<string>").repartition(7))
+    assert plan(got).count("Aggregate") == 1
+    assert [tuple(r) for r in got.collect()] == [(n, len(m), m, o, i) for m, (n, o, i) in sorted(want.items(), key=lambda x: (-x[1][0], *x[1][1:]))]
